@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import ngram_join, suffix_array, suffix_automaton
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +15,17 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.suffix_array_dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_automaton.substring_dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
