@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, suffix_array, suffix_automaton
+from . import bpe, ngram_join, packing, suffix_array, suffix_automaton
+
+#: The tokenizer definition of the registered queries; the operators take any path.
+DEFINITION = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +27,19 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_automaton.substring_dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_encode(_table(spark, sf_dir, "documents"), public_tokenizers.path(DEFINITION), keep=())
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(_table(spark, sf_dir, "documents"), public_tokenizers.path(DEFINITION))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op6_bpe_encode_decode": op6_bpe_encode_decode,
+    "op7_best_fit_packing": op7_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
