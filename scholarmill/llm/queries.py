@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ngram_join, packing, suffix_array, suffix_automaton
+from . import bpe, embedding_lsh, ngram_join, packing, suffix_array, suffix_automaton
 
 #: The tokenizer definition of the registered queries; the operators take any path.
 DEFINITION = "word_bpe_49k.json"
@@ -19,6 +19,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_lsh.embedding_near_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.suffix_array_dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -37,6 +41,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
