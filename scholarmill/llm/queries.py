@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, embedding_lsh, ngram_join, packing, suffix_array, suffix_automaton
+from . import bpe, embedding_lsh, line_dedup, ngram_join, packing, quality, suffix_array, suffix_automaton
 
 #: The tokenizer definition of the registered queries; the operators take any path.
 DEFINITION = "word_bpe_49k.json"
@@ -31,6 +32,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_automaton.substring_dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its lines, how many of them go, and the digest of what stays."""
+    kept = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(_table(spark, sf_dir, "documents"), public_tokenizers.path(DEFINITION), keep=())
 
@@ -39,12 +46,21 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(_table(spark, sf_dir, "documents"), public_tokenizers.path(DEFINITION))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality.train(docs.select("doc_id", "text"), labels.where(~quality.held_out(F.col("doc_id"))))
+    scores = quality.quality_scores(docs, model)
+    return scores.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {}
