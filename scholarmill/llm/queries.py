@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_lsh, line_dedup, ngram_join, packing, quality, suffix_array, suffix_automaton
+from . import bpe, embedding_lsh, line_dedup, media, ngram_join, packing, quality, suffix_array, suffix_automaton, url_filter
 
 #: The tokenizer definition of the registered queries; the operators take any path.
 DEFINITION = "word_bpe_49k.json"
@@ -46,6 +46,27 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(_table(spark, sf_dir, "documents"), public_tokenizers.path(DEFINITION))
 
 
+def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a fetch time within the month of the events, spread by id."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return pages.withColumn("fetched", F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(page_id * 37 % 41760 as int))"))
+
+
+def _list_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dated list entries: every event changes the entries of the hosts and domains that share its slot."""
+    hosts = _table(spark, sf_dir, "pages").select(url_filter.host_of(F.col("url")).alias("host")).distinct()
+    keys = hosts.select(F.explode(url_filter.domains_of(F.col("host"))).alias("key")).distinct()
+    keys = keys.withColumn("slot", F.conv(F.substring(F.md5("key"), 1, 6), 16, 10).cast("long") % 4096)
+    kind = F.when(F.col("event_type").isin("view", "error"), "abuse").otherwise("policy")
+    action = F.when(F.col("event_type").isin("error", "purchase"), "remove").otherwise("add")
+    events = _table(spark, sf_dir, "events").select(kind.alias("list"), action.alias("action"), "ts", (F.col("event_id") % 4096).alias("slot"))
+    return keys.join(events, "slot").select("list", "key", "action", "ts")
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(_captures(spark, sf_dir), _list_entries(spark, sf_dir))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = quality.train(docs.select("doc_id", "text"), labels.where(~quality.held_out(F.col("doc_id"))))
@@ -53,6 +74,19 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    payloads = media.read_payloads(media.store_payloads(docs))
+    items = media.interleave(docs.select("doc_id", media.page_of(F.col("text")).alias("html")), "doc_id", "html", with_text=False)
+    found = media.resolve(items, payloads)
+    return found.select("doc_id", "pos", "caption", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def interleaved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text and media item of the raw web pages, in order."""
+    return media.interleave(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -61,6 +95,35 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_url_filters": op8_url_filters,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_media_columns": op10_media_columns,
+    "interleaved_pages": interleaved_pages,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op8_url_filters": r"""
+WITH seen AS (
+  SELECT page_id, regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '^www\.', '') AS host,
+         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(page_id * 37 % 41760 AS BIGINT)) AS at_time
+  FROM pages WHERE page_id IS NOT NULL),
+labelled AS (SELECT page_id, host, at_time, string_split(host, '.') AS l FROM seen WHERE host <> ''),
+looked AS (
+  SELECT page_id, at_time, array_to_string(l[i:], '.') AS key
+  FROM (SELECT *, unnest(range(1, greatest(len(l), 2))) AS i FROM labelled)),
+keys AS (SELECT DISTINCT key FROM looked),
+entries AS (
+  SELECT CASE WHEN event_type IN ('view', 'error') THEN 'abuse' ELSE 'policy' END AS list, key,
+         max(CASE WHEN event_type IN ('error', 'purchase') THEN 'remove' ELSE 'add' END) AS action, ts
+  FROM keys JOIN events ON CAST(('0x' || substr(md5(key), 1, 6)) AS BIGINT) % 4096 = event_id % 4096
+  GROUP BY ALL),
+last_change AS (
+  SELECT k.page_id, k.key, n.list,
+         (SELECT max_by(e.action, e.ts) FROM entries e WHERE e.key = k.key AND e.list = n.list AND e.ts <= k.at_time) AS action
+  FROM looked k, (VALUES ('abuse'), ('policy')) n(list)),
+verdict AS (
+  SELECT page_id, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists
+  FROM last_change WHERE action = 'add' GROUP BY page_id)
+SELECT s.page_id, s.host, coalesce(v.n, 0) AS n_entries, coalesce(v.lists, '') AS lists, v.n IS NULL AS allowed
+FROM seen s LEFT JOIN verdict v USING (page_id)
+""",
 }
-ORACLE_SQL: dict[str, str] = {}
