@@ -122,27 +122,48 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", cells:
     return fit(examples, cells)
 
 
+def probabilities(text: pa.Array, model: tuple, rolling: Rolling) -> np.ndarray:
+    """The probability of label 1 for each text."""
+    logit, bias = model
+    cells = len(logit) - 1
+    buf, off = utf8(text)
+    z = np.full(len(off) - 1, bias)
+    for lo, hi in slices(off):
+        part, bounds = buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+        s, e, h, which, doc, again = _distinct(part, bounds, rolling)
+        if not len(s):
+            continue
+        cell, owner = word_features(part, s, e, h, cells, rolling)
+        total, number = np.bincount(owner, weights=logit[cell], minlength=len(s)), np.bincount(owner, minlength=len(s))
+        sums, counts = np.bincount(doc, weights=np.where(again, number[which] * logit[cells], total[which]), minlength=hi - lo), np.bincount(doc, weights=number[which], minlength=hi - lo)
+        z[lo:hi] += sums / np.maximum(counts, 1)
+    return 1 / (1 + np.exp(-z))
+
+
 def _score(model):
     def run(batches):
-        logit, bias = model.value
-        cells, rolling = len(logit) - 1, Rolling()
+        rolling = Rolling()
         for batch in batches:
-            buf, off = utf8(batch.column(1))
-            z = np.full(len(off) - 1, bias)
-            for lo, hi in slices(off):
-                part, bounds = buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-                s, e, h, which, doc, again = _distinct(part, bounds, rolling)
-                if not len(s):
-                    continue
-                cell, owner = word_features(part, s, e, h, cells, rolling)
-                total, number = np.bincount(owner, weights=logit[cell], minlength=len(s)), np.bincount(owner, minlength=len(s))
-                sums, counts = np.bincount(doc, weights=np.where(again, number[which] * logit[cells], total[which]), minlength=hi - lo), np.bincount(doc, weights=number[which], minlength=hi - lo)
-                z[lo:hi] += sums / np.maximum(counts, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-z)))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(probabilities(batch.column(1), model.value, rolling))], names=["doc_id", "score"])
+
+    return run
+
+
+def _keep(model, text_at: int, least: float):
+    def run(batches):
+        rolling = Rolling()
+        for batch in batches:
+            yield batch.filter(pa.array(probabilities(batch.column(text_at), model.value, rolling) >= least))
 
     return run
 
 
+def keep_good(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` (text in column ``text``) that score ``least`` or more, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
+    return docs.mapInArrow(_keep(shared, docs.columns.index("text"), least), docs.schema)
+
+
 def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score): the probability of label 1 for every whole text.
 

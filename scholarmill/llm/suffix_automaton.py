@@ -142,23 +142,30 @@ def _remove(batches):
         buf, off = utf8(batch.column(1))
         n_words, n_removed, digests, kept = [], [], [], []
         for k, found in enumerate(spans):
-            words = buf[off[k] : off[k + 1]].tobytes().split()
+            text = buf[off[k] : off[k + 1]].tobytes()
+            words = text.split()
             n = len(words)
-            for b, e in reversed(union_spans(found, n)):
-                del words[b:e]
-            left = b" ".join(words)
+            if gone := union_spans(found, n):
+                begin, end = _locate(np.frombuffer(text, np.uint8))
+                at, parts = 0, []
+                for b, e in gone:
+                    parts.append(text[at : begin[b]])
+                    at = int(end[e - 1])
+                text = b"".join([*parts, text[at:]])
+                for b, e in reversed(gone):
+                    del words[b:e]
             n_words.append(n)
             n_removed.append(n - len(words))
-            digests.append(hashlib.sha256(left).hexdigest())
-            kept.append(left)
+            digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            kept.append(text)
         yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 8) -> DataFrame:
     """Removes each word covered by a window of ``length`` words that also starts in a document with a smaller id.
 
-    Returns (doc_id, n_words, n_removed, kept_sha256, kept) for every document; ``kept`` is the kept words joined by
-    one space. Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; windows lie within one document and are judged as the texts
+    Returns (doc_id, n_words, n_removed, kept_sha256, kept) for every document; ``kept`` is the text without the removed
+    words, white space as it was, and the digest is of the kept words joined by one space. Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; windows lie within one document and are judged as the texts
     came in. Null texts have no words; texts shorter than ``length`` words keep all. A passage repeated within its
     first document stays there. Rows with a null id are left out; ids are taken as distinct. Other columns are ignored.
     """
