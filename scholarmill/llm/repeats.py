@@ -138,7 +138,7 @@ def _find(chunk: int):
         start, count = runs_of(rec["h"])
         on = (count > 1) | twice[start]
         keep = np.repeat(on, count)
-        rec = rec[keep]
+        rec, twice = rec[keep], twice[keep]
         if not len(rec):
             return
         new = np.append(True, (rec["h"][1:] != rec["h"][:-1]) | (rec["c"][1:] != rec["c"][:-1]))
@@ -146,13 +146,14 @@ def _find(chunk: int):
         copies = np.diff(np.append(start, len(rec)))
         for a in range(0, len(rec), 1 << 18):
             yield _found(1, rec[a : a + (1 << 18)])
-        head = rec[start]
+        head, within = rec[start], np.logical_or.reduceat(twice, start)
         # contents of one anchor by their smallest id, in parts of bounded size
         order = np.lexsort((head["d"], head["h"]))
-        head, copies = head[order], copies[order]
+        head, copies, within = head[order], copies[order], within[order]
         at, n = runs_of(head["h"])
         rank = np.arange(len(head)) - np.repeat(at, n)
-        parts = np.repeat(-(-n // chunk), n)
+        # a content alone with its anchor, which it holds once, has nothing to be compared with: its copies decide
+        parts = np.where((np.repeat(n, n) == 1) & ~within, 0, np.repeat(-(-n // chunk), n))
         yield _found(2, head, head["d"], copies, rank // chunk, parts)
 
     return run
@@ -243,16 +244,20 @@ def merge_starts(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
 def repeated_spans(docs: DataFrame, tokenise: Callable, locate: Callable, decide: Callable, length: int, k: int, chunk: int, earlier_only: bool, name: str) -> DataFrame:
     """(doc_id, spans array<struct<begin, end>>) in tokens, for the documents (doc_id, text) that have any.
 
-    ``decide`` turns groups of fragments that share an anchor into the spans of each content whose windows repeat.
+    ``decide`` turns groups of different fragments that share an anchor into the spans of each content whose windows
+    repeat; a content that is alone with its anchor repeats as a whole or not at all.
     With ``earlier_only`` a content's spans hold for its smallest id alone; all other places of it are whole repeats.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     dealt = docs.mapInArrow(_deal(tokenise, length, k, 16 * n, earlier_only), blob_schema("bucket"))
     found = materialise(dealt.repartition(n, "bucket").mapInArrow(_find(chunk), FOUND), f"{name}-found")
-    want = found.where("kind = 2").groupBy(F.col("d").alias("doc_id")).agg(F.collect_list(F.struct("h", "c", "s", "m", "first", "copies", "i", "parts")).alias("want"))
+    want = found.where("kind = 2 AND parts > 0").groupBy(F.col("d").alias("doc_id")).agg(F.collect_list(F.struct("h", "c", "s", "m", "first", "copies", "i", "parts")).alias("want"))
     pieces = docs.join(want, "doc_id").select("text", "want").mapInArrow(_cut(locate), PIECE)
     decided = pieces.repartition(n, "h", "lo", "hi").sortWithinPartitions("h", "lo", "hi").mapInArrow(decide, SPANS)
+    if not earlier_only:
+        alone = found.where("kind = 2 AND parts = 0 AND copies > 1")
+        decided = decided.unionAll(alone.select("h", "c", F.array(F.lit(0)).alias("begin"), F.array(F.col("m").cast("int")).alias("end")))
     decided = materialise(decided, f"{name}-decided")
     if earlier_only:
         first = materialise(found.where("kind = 2").select("h", "c", F.col("d").alias("d"), F.col("s").alias("s0")), f"{name}-first")
