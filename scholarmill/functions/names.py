@@ -70,7 +70,7 @@ def name_parts(names: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_name(n) for n in names], columns=["surname", "given"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def title_clean(titles: pd.Series) -> pd.Series:
     return titles.map(clean_title)
 

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..sources.work import written
 
@@ -94,7 +95,7 @@ def _fraction(x: float, a: float, b: float, front: float) -> float:
     return front / a / (1 + first / (1 + value))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_value(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p-value of a correlation over n points; null for fewer than three."""
     out = []

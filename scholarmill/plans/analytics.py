@@ -32,24 +32,31 @@ def analytics_overview(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _PAGE = "publication_key, title, publication_year, type, citation_count, doi"
+#: Sort orders: the column and the direction; unknown values come last, the key settles ties.
 ORDERS = {
-    "year_desc": ([F.desc_nulls_last("publication_year"), F.asc("publication_key")], "publication_year DESC NULLS LAST, publication_key"),
-    "year_asc": ([F.asc_nulls_last("publication_year"), F.asc("publication_key")], "publication_year ASC NULLS LAST, publication_key"),
-    "citations_desc": ([F.desc_nulls_last("citation_count"), F.asc("publication_key")], "citation_count DESC NULLS LAST, publication_key"),
-    "title_asc": ([F.asc_nulls_last("title"), F.asc("publication_key")], "title ASC NULLS LAST, publication_key"),
+    "year_desc": ("publication_year", "DESC"),
+    "year_asc": ("publication_year", "ASC"),
+    "citations_desc": ("citation_count", "DESC"),
+    "title_asc": ("title", "ASC"),
 }
 
 
+def ordered(rows: DataFrame, order: str) -> DataFrame:
+    column, direction = ORDERS[order]
+    first = F.desc_nulls_last(column) if direction == "DESC" else F.asc_nulls_last(column)
+    return rows.orderBy(first, F.asc("publication_key"))
+
+
 def _page(order: str):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         pub = publications(spark, folder, *_PAGE.split(", "), "is_oa").where(where({"is_oa": True, "type": ["1-URGENT", "2-HIGH"]}))
-        return pub.orderBy(*ORDERS[order][0]).offset(40).limit(20).select(*_PAGE.split(", "))
+        return ordered(pub, order).offset(40).limit(20).select(*_PAGE.split(", "))
 
     return run
 
 
-for _name, (_, _sql) in ORDERS.items():
-    query(f"publications_page_{_name}", f"{PUB_SQL} SELECT {_PAGE} FROM pub WHERE is_oa IS TRUE AND type IN ('1-URGENT', '2-HIGH') ORDER BY {_sql} LIMIT 20 OFFSET 40")(_page(_name))
+for _name, (_column, _direction) in ORDERS.items():
+    query(f"publications_page_{_name}", f"{PUB_SQL} SELECT {_PAGE} FROM pub WHERE is_oa IS TRUE AND type IN ('1-URGENT', '2-HIGH') ORDER BY {_column} {_direction} NULLS LAST, publication_key LIMIT 20 OFFSET 40")(_page(_name))
 
 
 @query("facets", PUB_SQL + """,
