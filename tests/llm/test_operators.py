@@ -165,19 +165,11 @@ def test_line_dedup(spark):
 
 
 
-def test_line_dedup_against_definition(spark):
+def line_groups(spark, distinct, distance, similarity):
+    """Groups of linked normalised lines by the definition, with Spark's word hash read from a table."""
     from pyspark.sql import functions as F
 
-    rng = random.Random(5)
-    words = [f"word{k}" for k in range(60)]
-    lines = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 40))) for _ in range(60)]
-    for k in range(60):
-        w = lines[k].split()
-        w[rng.randrange(len(w))] += rng.choice(["", "x"])
-        lines.append(" ".join(w))
-    rng.shuffle(lines)
-    values = ["\n".join(lines[k : k + 4]) for k in range(0, len(lines), 4)]
-    hashes = {r.w: r.h & (2**64 - 1) for r in spark.createDataFrame([(w,) for line in lines for w in line.split()], "w string").distinct().select("w", F.xxhash64("w").alias("h")).collect()}
+    hashes = {r.w: r.h & (2**64 - 1) for r in spark.createDataFrame([(w,) for line in distinct for w in line.split()], "w string").distinct().select("w", F.xxhash64("w").alias("h")).collect()}
 
     def sim(line):
         w = line.split()
@@ -192,12 +184,27 @@ def test_line_dedup_against_definition(spark):
             row = new
         return row[-1]
 
-    distinct = sorted(set(lines))
-    groups = Union({x: x for x in distinct})
-    for i, a in enumerate(distinct):
-        for b in distinct[i + 1 :]:
-            if bin(sim(a) ^ sim(b)).count("1") <= 6 and lev(a, b) <= 0.1 * max(len(a), len(b)) + 1e-9:
+    ordered = sorted(distinct)
+    sims = {x: sim(x) for x in ordered}
+    groups = Union({x: x for x in ordered})
+    for i, a in enumerate(ordered):
+        for b in ordered[i + 1 :]:
+            if bin(sims[a] ^ sims[b]).count("1") <= distance and lev(a, b) <= (1 - similarity) * max(len(a), len(b)) + 1e-9:
                 groups.join(a, b)
+    return groups
+
+
+def test_line_dedup_against_definition(spark):
+    rng = random.Random(5)
+    words = [f"word{k}" for k in range(60)]
+    lines = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 40))) for _ in range(60)]
+    for k in range(60):
+        w = lines[k].split()
+        w[rng.randrange(len(w))] += rng.choice(["", "x"])
+        lines.append(" ".join(w))
+    rng.shuffle(lines)
+    values = ["\n".join(lines[k : k + 4]) for k in range(0, len(lines), 4)]
+    groups = line_groups(spark, set(lines), 6, 0.9)
     keep = {}
     expected = {}
     for k, v in enumerate(values):
