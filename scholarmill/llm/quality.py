@@ -20,6 +20,8 @@ from .common import BYTE_VALUE, Rolling, mix64, slices, utf8, words_of
 #: Labelled rows of each class that training may use at most.
 SAMPLE_PER_CLASS = 3000
 N_GRAMS = (3, 4, 5)
+#: Few examples are seen more often, up to so many steps in all.
+LEAST_STEPS = 4000
 
 
 class Model(NamedTuple):
@@ -79,6 +81,7 @@ def _features(cells: int):
 
 def fit(examples: list[tuple[int, np.ndarray, np.ndarray]], cells: int, dim: int = 8, epochs: int = 6, rate: float = 1.0, seed: int = 1) -> Model:
     """Stochastic gradient descent on (label, cells, counts) examples; no examples give a score of one half."""
+    epochs = max(epochs, -(-LEAST_STEPS // max(1, len(examples))))
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / dim, 1 / dim, (cells + 1, dim)).astype(np.float32)
     out, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
