@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Words and pieces remembered by a worker; a full memory starts anew.
 REMEMBERED = 300_000
 # White space of Unicode, at which the definition's normaliser and splitter part words
@@ -39,6 +41,21 @@ def split_words(text: str) -> list[str]:
     return text.split() if not _ODD.search(text) else [w for w in _SPACES.split(text) if w]
 
 
+def simpler(word: str) -> tuple[str, ...] | None:
+    """Words that together have the same tokens and are met more often; null where the word has none.
+
+    A letter and a closing stop or comma always part. Lower-casing first changes nothing for Latin letters that are
+    composed before and after it.
+    """
+    stem = word.rstrip(".,")
+    if stem != word and stem and stem[-1].lower()[-1].isalpha():
+        return stem, word[len(stem) :]
+    low = word.lower()
+    if low != word and "<|" not in word and max(word) < "\u0250" and unicodedata.is_normalized("NFC", low):
+        return (low,)
+    return None
+
+
 class Remember(dict):
     """word -> its ids as bytes, encoding what it doesn't know; bounded: what a full memory held is the one before."""
 
@@ -51,7 +68,8 @@ class Remember(dict):
             self.clear()
         found = self.before.get(word)
         if found is None:
-            found = self.encode(word)
+            others = simpler(word)
+            found = self.encode(word) if others is None else b"".join([self[w] for w in others])
         self[word] = found
         return found
 
@@ -227,6 +245,7 @@ def bpe_encode(docs: DataFrame, definition_path: str, id_col: str = "doc_id", te
     """
     with open(definition_path, encoding="utf-8") as f:
         definition = docs.sparkSession.sparkContext.broadcast(f.read())
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join({"ids": ", ids array<int>", "decoded": ", decoded string"}[k] for k in keep)
     return base.mapInArrow(_run(definition, keep), schema)
