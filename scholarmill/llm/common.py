@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled by one vectorised step inside a task.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Bytes of a batch between Spark and Python; two tasks of an executor hold a few of them at a time.
+BATCH_BYTES = 8 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -31,11 +33,23 @@ def work_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to ``BATCH_BYTES``, so that texts don't pile up beside the heap."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        now = spark.conf.get(name)
+        if int(now.rstrip("b")) > BATCH_BYTES:
+            spark.conf.set(name, str(BATCH_BYTES))
+    except ValueError:  # a size in other units was set on purpose
+        return
+
+
 def partitions(spark: SparkSession) -> int:
     """Number of shuffle partitions the session asks for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

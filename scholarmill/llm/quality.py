@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, Rolling, mix64, slices, utf8, words_of
+from .common import BYTE_VALUE, Rolling, mix64, slices, small_batches, utf8, words_of
 
 #: Labelled rows of each class that training may use at most.
 SAMPLE_PER_CLASS = 3000
@@ -119,10 +119,24 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", cells:
         chosen = some if chosen is None else chosen.unionAll(some)
     # at most twice ``per_class`` ids of 12 bytes are broadcast
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    rows = sample.repartition(F.col("doc_id")).select("label", "text").mapInArrow(_features(cells), "label int, cells binary, counts binary").collect()
-    examples = [(r.label, np.frombuffer(r["cells"], "<i4"), np.frombuffer(r["counts"], "<f4")) for r in rows]
-    examples.sort(key=lambda x: (x[0], len(x[1]), x[1].tobytes()))
-    return fit(examples, cells)
+    small_batches(docs.sparkSession)
+    features = sample.repartition(F.col("doc_id")).select("label", "text").mapInArrow(_features(cells), "label int, cells binary, counts binary")
+    # one task learns from the bounded sample; the driver gets the model alone
+    row = features.repartition(1).mapInArrow(_learn(cells), "logit binary, bias double").first()
+    return Model(np.frombuffer(row.logit, "<f8"), row.bias) if row else fit([], cells)
+
+
+def _learn(cells: int):
+    def run(batches):
+        examples = []
+        for b in batches:
+            for label, cell, count in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                examples.append((label, np.frombuffer(cell, "<i4"), np.frombuffer(count, "<f4")))
+        examples.sort(key=lambda x: (x[0], len(x[1]), x[1].tobytes()))
+        model = fit(examples, cells)
+        yield pa.RecordBatch.from_arrays([pa.array([model.logit.astype("<f8").tobytes()]), pa.array([model.bias])], names=["logit", "bias"])
+
+    return run
 
 
 def probabilities(text: pa.Array, model: tuple, rolling: Rolling) -> np.ndarray:
