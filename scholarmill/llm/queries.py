@@ -101,6 +101,48 @@ QUERIES = {
     "interleaved_pages": interleaved_pages,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l
+  FROM documents WHERE doc_id IS NOT NULL),
+s AS (
+  SELECT doc_id, CASE WHEN len(l) >= 5 THEN list_distinct(list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' ')))
+    WHEN len(l) > 0 THEN [array_to_string(l, ' ')] ELSE [] END AS g FROM w),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS t FROM s),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.t = b.t AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+walk AS (SELECT a AS root, b AS node FROM both_ways UNION SELECT walk.root, e.b FROM walk JOIN both_ways e ON e.a = walk.node)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(c.component, s.doc_id)) AS component_id
+FROM s LEFT JOIN (SELECT node, min(root) AS component FROM walk GROUP BY node) c ON c.node = s.doc_id
+""",
+    "op2_embedding_near_dedup": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+walk AS (SELECT a AS root, b AS node FROM links UNION SELECT walk.root, l.b FROM walk JOIN links l ON l.a = walk.node),
+c AS (SELECT node, min(root) AS component FROM walk GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, least(v.vec_id, coalesce(c.component, v.vec_id)) AS component_id,
+  least(v.vec_id, coalesce(c.component, v.vec_id)) = v.vec_id AS kept
+FROM v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN c ON c.node = v.vec_id
+""",
+    "op4_substring_dedup": r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM documents WHERE doc_id IS NOT NULL),
+i AS (SELECT doc_id, l, unnest(range(1, len(l) - 48)) AS i FROM w),
+k AS (SELECT doc_id, i, md5(array_to_string(l[i:i + 49], ' ')) AS h FROM i),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS first_doc FROM k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM f WHERE first_doc < doc_id),
+gone_of AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT w.doc_id, len(l) AS n, CASE WHEN ps IS NULL THEN l ELSE list_transform(list_filter(range(1, len(l) + 1), lambda p: NOT list_contains(ps, p)), lambda p: l[p]) END AS r
+  FROM w LEFT JOIN gone_of USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(r) AS BIGINT) AS n_removed, sha256(array_to_string(r, ' ')) AS kept_sha256 FROM kept
+""",
     "op8_url_filters": r"""
 WITH seen AS (
   SELECT page_id, regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '^www\.', '') AS host,
