@@ -204,7 +204,10 @@ def _pieces(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], hold: int = 1 << 20) -> Iterator[list[list[tuple]]]:
-    """Rows of a partition sorted by (h, lo, hi): whole groups, gathered to about ``hold`` bytes."""
+    """Rows of a partition sorted by (h, lo, hi): whole groups, gathered to about ``hold`` bytes.
+
+    Groups of one anchor share contents, so they never come together.
+    """
     ready: list[list[tuple]] = []
     group: list[tuple] = []
     size = 0
@@ -212,8 +215,9 @@ def groups_of(batches: Iterator[pa.RecordBatch], hold: int = 1 << 20) -> Iterato
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if group and group[-1][0:1] + group[-1][2:4] != row[0:1] + row[2:4]:
                 ready.append(group)
+                same = group[-1][0] == row[0]
                 group = []
-                if size > hold:
+                if size > hold or same:
                     yield ready
                     ready, size = [], 0
             group.append(row)

@@ -153,6 +153,26 @@ def test_many_contexts_of_one_passage_are_dealt_in_parts(spark):
     assert got == {k * 3: [(20, 90)] for k in range(1, 30)}
 
 
+def test_suffix_array_parts_of_one_anchor(spark):
+    """More contents of one anchor than a part holds: a content that comes in several groups is no repeat of itself."""
+    from scholarmill.llm import repeats
+
+    rng = random.Random(4)
+    # one rare 16-gram hash is the anchor of every window that holds it; contexts differ
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(260))
+    values = ["".join(rng.choice("ijklmnop ") for _ in range(300)) + passage + "".join(rng.choice("ijklmnop ") for _ in range(300)) for _ in range(30)]
+    base = frame(spark, values).select("doc_id", "text")
+    spans = repeats.repeated_spans(base, suffix_array._tokenise, suffix_array._locate, suffix_array._decide(200), 200, 16, 4, False, "suffix-parts")
+    got = {r.doc_id: repeats.union_spans([s.asDict() for s in r.spans], 10**6) for r in spans.collect()}
+    seen = {}
+    for t in values:
+        for i in range(len(t) - 199):
+            seen[t[i : i + 200]] = seen.get(t[i : i + 200], 0) + 1
+    for k, t in enumerate(values):
+        starts = [i for i in range(len(t) - 199) if seen[t[i : i + 200]] > 1]
+        assert got[k * 3] == [(starts[0], starts[-1] + 200)]
+
+
 def test_line_dedup(spark):
     line = "the quick brown fox jumps over the lazy dog and runs through the wide green forest until the evening falls down on all the land around it"
     values = [line + "\nfirst", "-- \n" + line.upper() + "!\nsecond\n-- ", None, "", line.replace("lazy", "lazi"), "second", "alone\nalone"]
