@@ -36,9 +36,8 @@ def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words that an earlier document holds go; a document that loses all its words goes."""
-    kept = suffix_automaton.substring_dedup(docs).where("n_removed = 0 OR n_removed < n_words").select("doc_id", "kept")
-    out = docs.select("doc_id", "lang", "source").join(kept, "doc_id")
-    return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
+    kept = suffix_automaton.substring_dedup(docs, others=("lang", "source")).where("n_removed = 0 OR n_removed < n_words")
+    return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -100,9 +100,10 @@ def _deal(tokenise: Callable, length: int, k: int, buckets: int, earlier_only: b
                         continue
                     if earlier_only:
                         later = max(doc, known[0])
-                        skip[i] = doc > known[0]
+                        skip[i] = doc >= known[0]
+                        if doc != known[0]:  # a row again is no earlier document
+                            yield from whole(later)
                         known[0] = min(doc, known[0])
-                        yield from whole(later)
                     else:
                         skip[i] = True
                         yield from whole(doc)

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import Rolling, utf8, words_of
 from .repeats import groups_of, merge_starts, repeated_spans, spans_batch, union_spans
@@ -138,7 +139,7 @@ def _locate(text: np.ndarray):
 
 def _remove(batches):
     for batch in batches:
-        ids, spans = batch.column(0), batch.column(2).to_pylist()
+        ids, spans, others = batch.column(0), batch.column(2).to_pylist(), batch.columns[3:]
         buf, off = utf8(batch.column(1))
         n_words, n_removed, digests, kept = [], [], [], []
         for k, found in enumerate(spans):
@@ -158,18 +159,21 @@ def _remove(batches):
             n_removed.append(n - len(words))
             digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
             kept.append(text)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary()).cast(pa.string()), *others], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept", *batch.schema.names[3:]])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 8) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 8, others: tuple[str, ...] = ()) -> DataFrame:
     """Removes each word covered by a window of ``length`` words that also starts in a document with a smaller id.
 
-    Returns (doc_id, n_words, n_removed, kept_sha256, kept) for every document; ``kept`` is the text without the removed
+    Returns (doc_id, n_words, n_removed, kept_sha256, kept) and the columns named in ``others`` for every row; ``kept`` is the text without the removed
     words, white space as it was, and the digest is of the kept words joined by one space. Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; windows lie within one document and are judged as the texts
     came in. Null texts have no words; texts shorter than ``length`` words keep all. A passage repeated within its
-    first document stays there. Rows with a null id are left out; ids are taken as distinct. Other columns are ignored.
+    first document stays there. Rows with a null id are left out; rows that repeat an id with its text get the same
+    result, one id with several texts is not provided for. Other columns are ignored.
     """
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spans = repeated_spans(base, _tokenise, _locate, _decide(length), length, k, 1024, True, "passages")
-    joined = base.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    carried = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0), *others).alias("others"))
+    joined = carried.join(spans, "doc_id", "left").select("doc_id", "text", "spans", *(F.col(f"others.{c}") for c in others))
+    schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return joined.mapInArrow(_remove, StructType(schema.fields + joined.schema.fields[3:]))

@@ -173,6 +173,16 @@ def test_suffix_array_parts_of_one_anchor(spark):
         assert got[k * 3] == [(starts[0], starts[-1] + 200)]
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_substring_dedup_of_repeated_rows(spark, parts):
+    """A row that comes again loses nothing but what a smaller id holds, in one partition or several."""
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(5, a), (5, a), (5, a), (9, a), (9, a), (2, b), (2, b), (7, "x " + b), (7, "x " + b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts) if parts > 1 else spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept.strip()) for r in suffix_automaton.substring_dedup(docs).collect())
+    assert got == sorted([(2, 60, 0, b)] * 2 + [(5, 60, 0, a)] * 3 + [(7, 61, 60, "x")] * 2 + [(9, 60, 60, "")] * 2)
+
+
 def test_line_dedup(spark):
     line = "the quick brown fox jumps over the lazy dog and runs through the wide green forest until the evening falls down on all the land around it"
     values = [line + "\nfirst", "-- \n" + line.upper() + "!\nsecond\n-- ", None, "", line.replace("lazy", "lazi"), "second", "alone\nalone"]

@@ -115,6 +115,15 @@ def test_pipeline(spark, tmp_path):
     assert made[4].select("sequence_id").distinct().count() <= -(-sum(r.length for r in rows) // 2048) + 1
 
 
+def test_repeated_rows_stay(spark):
+    """A clean document that is given twice is neither lost nor multiplied by the stages before packing."""
+    text = "\n".join(" ".join(f"w{k}x{j}" for j in range(30)) for k in range(3))
+    docs = spark.createDataFrame([(5, text, "en", "s", len(text))] * 2 + [(8, "other words", "en", "s", 11)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    for stage in (corpus_pipeline.line_stage, corpus_pipeline.ngram_stage, corpus_pipeline.substring_stage):
+        docs = stage(spark, docs, "")
+        assert sorted((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in docs.collect()) == [(5, text, "en", "s", len(text))] * 2 + [(8, "other words", "en", "s", 11)]
+
+
 def test_run_gives_the_last_stage(spark, tmp_path):
     make(spark, str(tmp_path))
     out = corpus_pipeline.run(spark, str(tmp_path))
