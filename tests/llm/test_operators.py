@@ -248,6 +248,28 @@ def test_line_dedup_against_definition(spark):
     assert got == expected
 
 
+def test_line_dedup_default_finds_edit_similar_lines(spark):
+    """The production default against edit similarity alone: nearly every line with a changed word or letter is found."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(900)]
+    firsts, seconds = [], []
+    for k in range(240):
+        w = [rng.choice(words) for _ in range(rng.choice([5, 8, 12, 20, 26, 40, 100]))]
+        firsts.append(" ".join(w))
+        most, spent = len(firsts[-1]) // 10, 0
+        for _ in range(1 + len(w) // 14):
+            at = rng.randrange(len(w))
+            new = rng.choice(words) if max(len(w[at]), 9) <= most - spent else w[at][:-1] + "z"
+            spent += max(len(w[at]), len(new)) if new[:-1] != w[at][:-1] else 1
+            w[at] = new
+        seconds.append(" ".join(w))
+    rows = [(k, x) for k, x in enumerate(firsts + seconds)]
+    got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    near = [k for k in range(240) if firsts[k] != seconds[k]]
+    assert not any(got[k] for k in range(240)) and len(near) > 200
+    assert sum(got[240 + k] for k in near) >= 0.95 * len(near)
+
+
 def test_bpe_is_exact(spark):
     library = Tokenizer.from_file(DEFINITION)
     values = texts(7) + ["it's <|endoftext|>we'll, GO. Ünïcode İ, Σας x́́ 中文 12 \x1c a\xa0b", "aaaaaaaaaaaaaaaaaaaaaa", "ab<|startoftext|>."]
