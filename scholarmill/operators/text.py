@@ -44,8 +44,8 @@ def vocabulary(counts: DataFrame, n_docs: int, least: int, most: float, features
     return by_term.where(F.col("df").between(least, int(most * n_docs))).orderBy(F.desc("total"), F.desc("df"), "term").limit(features)
 
 
-def tfidf(docs: DataFrame, id_col: str, text_col: str, least: int, most: float, features: int, top: int) -> DataFrame:
-    """(id, term, weight, rank): each document's ``top`` terms by tf x smoothed idf, weights of unit length.
+def tfidf(docs: DataFrame, id_col: str, text_col: str, least: int, most: float, features: int, top: int | None) -> DataFrame:
+    """(id, term, weight, rank): each document's ``top`` terms (None: all) by tf x smoothed idf, weights of unit length.
 
     The vocabulary has ``features`` rows at most and is broadcast up to a million of them.
     """
@@ -57,7 +57,8 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str, least: int, most: float,
     own = Window.partitionBy(id_col)
     rows = counts.join(terms, "term").withColumn("w", F.col("tf") * F.col("idf"))
     rows = rows.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(own)))
-    return rows.withColumn("rank", F.row_number().over(own.orderBy(F.desc(F.round("w", 9)), "term")).cast("long")).where(F.col("rank") <= top).select(id_col, "term", "weight", "rank")
+    rows = rows.withColumn("rank", F.row_number().over(own.orderBy(F.desc(F.round("w", 9)), "term")).cast("long"))
+    return (rows if top is None else rows.where(F.col("rank") <= top)).select(id_col, "term", "weight", "rank")
 
 
 def dot(a: Column, b: Column) -> Column:

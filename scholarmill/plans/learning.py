@@ -126,7 +126,7 @@ def topic_forecast(spark: SparkSession, folder: str) -> DataFrame:
 @query("topic_model")
 def topic_model(spark: SparkSession, folder: str) -> DataFrame:
     """Non-negative factors of the documents' TF-IDF weights: each document's strongest topic."""
-    weights = text.tfidf(table(spark, folder, "documents"), "doc_id", "text", least=5, most=0.5, features=300, top=40)
+    weights = text.tfidf(table(spark, folder, "documents"), "doc_id", "text", least=5, most=0.5, features=300, top=None)
     return models.topics(weights, "doc_id", "term", "weight", k=8, rounds=6)
 
 
