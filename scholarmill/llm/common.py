@@ -165,9 +165,11 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(current.select(F.col("b").alias("u"), F.col("a").alias("v")))
         best = both.groupBy("u").agg(F.min(prior("v")).alias("m"))
         to = materialise(best.select("u", F.least(F.col("m"), prior("u"))["n"].alias("r")), f"{name}-to")
+        doubled = to
         for _ in range(2):
-            nxt = to.select(F.col("u").alias("r"), F.col("r").alias("r2"))
-            to = materialise(to.join(nxt, "r").select("u", F.col("r2").alias("r")), f"{name}-to")
+            nxt = doubled.select(F.col("u").alias("r"), F.col("r").alias("r2"))
+            doubled = doubled.join(nxt, "r").select("u", F.col("r2").alias("r"))
+        to = materialise(doubled, f"{name}-to")
         steps.append(to)
         left, right = to.select(F.col("u").alias("a"), F.col("r").alias("ra")), to.select(F.col("u").alias("b"), F.col("r").alias("rb"))
         moved = current.join(left, "a").join(right, "b").where("ra <> rb")

@@ -193,34 +193,24 @@ def test_line_dedup(spark):
     assert got[12] == ("", 1, 1) and got[15] == ("", 1, 1) and got[18] == ("alone", 2, 1)
 
 
-
-
 def line_groups(spark, distinct, distance, similarity):
-    """Groups of linked normalised lines by the definition, with Spark's word hash read from a table."""
+    """Groups of normalised lines (ASCII) linked by edit similarity and, with a distance, by SimHash; Spark's word hash is read from a table."""
+    import duckdb
     from pyspark.sql import functions as F
 
-    hashes = {r.w: r.h & (2**64 - 1) for r in spark.createDataFrame([(w,) for line in distinct for w in line.split()], "w string").distinct().select("w", F.xxhash64("w").alias("h")).collect()}
-
-    def sim(line):
-        w = line.split()
-        return sum(1 << b for b in range(64) if 2 * sum(hashes[x] >> b & 1 for x in w) > len(w))
-
-    def lev(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a):
-            new = [i + 1]
-            for j, y in enumerate(b):
-                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
-            row = new
-        return row[-1]
-
     ordered = sorted(distinct)
-    sims = {x: sim(x) for x in ordered}
+    db = duckdb.connect()
+    db.execute("CREATE TABLE x AS SELECT unnest(?) AS t", [ordered])
+    most = f"floor(greatest(length(a.t), length(b.t)) * {1 - similarity} + 1e-9)"
+    near = db.execute(f"SELECT a.t, b.t FROM x a JOIN x b ON a.t < b.t WHERE abs(length(a.t) - length(b.t)) <= {most} AND levenshtein(a.t, b.t) <= {most}").fetchall()
+    sims = dict.fromkeys(ordered, 0)
+    if distance is not None:
+        hashes = {r.w: r.h & (2**64 - 1) for r in spark.createDataFrame([(w,) for line in distinct for w in line.split()], "w string").distinct().select("w", F.xxhash64("w").alias("h")).collect()}
+        sims = {t: sum(1 << b for b in range(64) if 2 * sum(hashes[x] >> b & 1 for x in t.split()) > len(t.split())) for t in ordered}
     groups = Union({x: x for x in ordered})
-    for i, a in enumerate(ordered):
-        for b in ordered[i + 1 :]:
-            if bin(sims[a] ^ sims[b]).count("1") <= distance and lev(a, b) <= (1 - similarity) * max(len(a), len(b)) + 1e-9:
-                groups.join(a, b)
+    for a, b in near:
+        if bin(sims[a] ^ sims[b]).count("1") <= (distance or 0):
+            groups.join(a, b)
     return groups
 
 
@@ -270,6 +260,22 @@ def test_line_dedup_default_finds_edit_similar_lines(spark):
     assert sum(got[240 + k] for k in near) >= 0.95 * len(near)
 
 
+@pytest.mark.parametrize("distance", [None, 6])
+def test_line_dedup_of_repeated_rows(spark, distance):
+    """A row that comes again changes nothing, in its own result or in that of others."""
+    line = "a quick brown fox jumps over one lazy dog while nine other animals of the wood look on and say nothing at all"
+    rows = [(1, line), (1, line), (2, line.replace("nine", "nime")), (2, line.replace("nine", "nime")), (3, "x\n" + line), (4, None), (4, None), (5, "!\n!"), (5, "!\n!"), (6, "y"), (6, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.text or "", r.n_lines, r.n_removed) for r in line_dedup.line_dedup(docs, distance=distance and 30).collect())
+    assert got == sorted([(1, line, 1, 0)] * 2 + [(2, "", 1, 1)] * 2 + [(3, "x", 2, 1)] + [(4, "", 0, 0)] * 2 + [(5, "!\n!", 2, 0)] * 2 + [(6, "y", 1, 0), (6, "z", 1, 0)])
+
+
+def test_line_dedup_of_lines_that_repeat_themselves(spark):
+    rows = [(1, "spam " * 40), (2, "spam " * 42), (3, "ham eggs " * 30), (4, "ham eggs " * 29 + "ham"), (5, "spam " * 60)]
+    got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0}
+
+
 def test_bpe_is_exact(spark):
     library = Tokenizer.from_file(DEFINITION)
     values = texts(7) + ["it's <|endoftext|>we'll, GO. Ünïcode İ, Σας x́́ 中文 12 \x1c a\xa0b", "aaaaaaaaaaaaaaaaaaaaaa", "ab<|startoftext|>."]

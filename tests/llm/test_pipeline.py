@@ -67,7 +67,7 @@ def test_pipeline(spark, tmp_path):
 
     # lines: none is said twice any more, the first one stays, nothing else is lost
     norm = lambda x: " ".join(re.findall(r"[^\W_]+", x.lower()))
-    same = line_groups(spark, {norm(x) for t in kept.values() for x in (t or "").split("\n")} - {""}, 3, 0.9)
+    same = line_groups(spark, {norm(x) for t in kept.values() for x in (t or "").split("\n")} - {""}, None, 0.9)
     lines, said = read(made[1]), set()
     for i in sorted(kept):
         left = []
