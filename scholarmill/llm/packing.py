@@ -9,6 +9,7 @@ equal lengths from per-partition counts, so that every piece finds its place by
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 
 import numpy as np
@@ -16,39 +17,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Remember, split_words, worker_store
-from .common import materialise
+from .bpe import REMEMBERED, split_words, worker_store
+from .common import materialise, slices, small_batches, utf8
 
+#: Text bytes whose words are encoded together.
+ENCODED_BYTES = 2 << 20
 
-def exact_fill(counts: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths that sum to ``gap``, the largest first."""
-    if gap <= 0:
-        return None
-    if counts[gap] > 0:
-        return (gap,)
 
-    def pair(g: int, free: np.ndarray) -> tuple[int, int] | None:
-        if g < 2:
+class Sums:
+    """Index of the sums of one, two and three available lengths, under availability counts that only fall.
+
+    Pairs stand by their sum, the one with the largest length last; triples are a single length and the pair that the
+    index has for the rest. Pairs of which a length has run out are dropped when they are met at the end of their list.
+    """
+
+    def __init__(self, counts: np.ndarray) -> None:
+        self.counts = counts
+        lengths = np.flatnonzero(counts)
+        small, big = (lengths[i] for i in np.triu_indices(len(lengths)))
+        fits = small + big < len(counts)
+        small, big = small[fits], big[fits]
+        order = np.lexsort((big, small + big))
+        self.small, self.big = small[order], big[order]
+        at = np.searchsorted(self.small + self.big, np.arange(len(counts) + 1))
+        self.begin, self.end = at[:-1], at[1:].copy()
+
+    def single(self, gap: int, held: tuple[int, ...]) -> bool:
+        return 0 < gap < len(self.counts) and self.counts[gap] > held.count(gap)
+
+    def pair(self, gap: int, held: tuple[int, ...]) -> tuple[int, int] | None:
+        if not 1 < gap < len(self.counts):
             return None
-        big = np.arange(g - 1, (g - 1) // 2, -1)
-        ok = (free[big] > 0) & (free[g - big] > 0)
-        if g % 2 == 0:
-            ok[-1] = free[g // 2] > 1
-        at = np.flatnonzero(ok)
-        return (int(big[at[0]]), int(g - big[at[0]])) if len(at) else None
-
-    found = pair(gap, counts)
-    if found:
-        return found
-    for a in np.flatnonzero(counts[: gap - 1] > 0)[::-1]:
-        if 3 * a < gap:
-            break
-        counts[a] -= 1
-        rest = pair(gap - int(a), counts)
-        counts[a] += 1
-        if rest:
-            return (int(a), *rest)
-    return None
+        begin, end, counts = self.begin[gap], self.end[gap], self.counts
+        while end > begin and not (counts[self.small[end - 1]] and counts[self.big[end - 1]]):
+            end -= 1
+        self.end[gap] = end
+        for k in range(end - 1, begin - 1, -1):
+            a, b = int(self.big[k]), int(self.small[k])
+            if counts[b] > held.count(b) and counts[a] > held.count(a) + (a == b):
+                return a, b
+        return None
+
+    def fill(self, gap: int, held: tuple[int, ...] = ()) -> tuple[int, ...] | None:
+        """One, two or three available lengths that sum to ``gap``, the largest first, beside the ``held`` ones."""
+        if self.single(gap, held):
+            return (gap,)
+        found = self.pair(gap, held)
+        if found or gap < 3:
+            return found
+        for a in np.flatnonzero(self.counts[: gap - 1])[::-1].tolist():
+            if 3 * a < gap:
+                break
+            rest = self.pair(gap - a, (*held, a)) if self.single(a, held) else None
+            if rest:
+                return (a, *rest)
+        return None
 
 
 def plan(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -67,11 +90,10 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], in
 
     if counts[size]:
         consume((size,))
+    sums = Sums(counts)
     for length in range(size - 1, 0, -1):
         while counts[length] > 0:
-            counts[length] -= 1
-            rest = exact_fill(counts, size - length)
-            counts[length] += 1
+            rest = sums.fill(size - length, (length,))
             if rest is None:
                 break
             consume((length, *rest))
@@ -102,29 +124,74 @@ def placements(patterns: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
+class Encoder:
+    """Words -> their ids as bytes, by the tokenizer library. What is new in a slice of texts is encoded together.
+
+    Words are remembered in two generations of bounded size, for as long as the Python worker lives.
+    """
+
+    def __init__(self, definition: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_str(definition)
+        self.library.no_truncation()
+        self.library.no_padding()
+        special = [(t.content, i) for i, t in sorted(self.library.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word)]
+        self.border = special[0] if special else None
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes words, some hundred at once with a special token between them; words that hold one go alone."""
+        if self.border is None:
+            alone, together = words, []
+        else:
+            sign, number = self.border
+            alone, together = [w for w in words if "<|" in w], [w for w in words if "<|" not in w]
+            parts = [together[k : k + 500] for k in range(0, len(together), 500)]
+            for part, found in zip(parts, self.library.encode_batch_fast([sign.join(p) for p in parts], add_special_tokens=False), strict=True):
+                ids = np.array(found.ids, "<u4")
+                at = np.concatenate([[-1], np.flatnonzero(ids == number), [len(ids)]])
+                data = ids.tobytes()
+                for w, x, y in zip(part, (4 * at[:-1] + 4).tolist(), (4 * at[1:]).tolist(), strict=True):
+                    self.now[w] = data[x:y]
+        for w in alone:
+            self.now[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        words = [split_words(x) for x in texts]
+        if len(self.now) > REMEMBERED:
+            self.now, self.before = {}, self.now
+        missing = set().union(*words).difference(self.now)
+        again = missing.intersection(self.before)
+        self.now.update(zip(again, map(self.before.__getitem__, again), strict=True))
+        self.learn(list(missing.difference(again)))
+        return [b"".join(map(self.now.__getitem__, x)) for x in words]
+
+
 def _pieces(definition, size: int, end_id: int):
     def run(batches):
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         store, text = worker_store(), definition.value
         key = ("library", hashlib.blake2b(text.encode()).hexdigest())
         if key not in store:
-            tok = Tokenizer.from_str(text)
-            tok.no_truncation()
-            tok.no_padding()
-            store[key] = Remember(lambda w: np.array(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes())
-        words = store[key]
+            store[key] = Encoder(text)
+        encode = store[key]
         part, seen, end = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for doc, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = b"".join(map(words.__getitem__, split_words(x.as_py() or ""))) + end
-                for k, at in enumerate(range(0, len(ids), 4 * size)):
-                    piece = ids[at : at + 4 * size]
-                    n = len(piece) // 4
-                    rows.append((doc, k, at // 4, n, zlib.crc32(piece), part, int(seen[n])))
-                    seen[n] += 1
+            _, off = utf8(batch.column(1))
+            docs = batch.column(0).to_pylist()
+            for lo, hi in slices(off, ENCODED_BYTES):
+                for doc, ids in zip(docs[lo:hi], encode([x or "" for x in batch.column(1).slice(lo, hi - lo).to_pylist()]), strict=True):
+                    ids += end
+                    for k, at in enumerate(range(0, len(ids), 4 * size)):
+                        piece = ids[at : at + 4 * size]
+                        n = len(piece) // 4
+                        rows.append((doc, k, at // 4, n, zlib.crc32(piece), part, int(seen[n])))
+                        seen[n] += 1
             if rows:
                 types_ = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types_, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
@@ -154,6 +221,7 @@ def best_fit_packing(docs: DataFrame, definition_path: str, id_col: str = "doc_i
     table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     with open(definition_path, encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -164,5 +232,6 @@ def best_fit_packing(docs: DataFrame, definition_path: str, id_col: str = "doc_i
     table = spark.sparkContext.broadcast(placements(plan(histogram, size)))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base_rank = materialise(per_part.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "packing-ranks")
-    ranked = pieces.join(base_rank, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
+    # a merge join: these counts grow with the partitions, so they are not broadcast
+    ranked = pieces.join(base_rank.hint("merge"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
     return ranked.mapInArrow(_place(table), schema + ", sequence_id long, offset long")
