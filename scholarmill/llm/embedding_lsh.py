@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,15 +43,22 @@ class Stable:
 
 def units(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """Unit vectors in double precision, grouped by dimension as (rows, matrix); rows without a direction are left out."""
-    rows = [(i, np.asarray(x, np.float64)) for i, x in enumerate(column.to_pylist()) if x and None not in x]
-    out: dict[int, list] = {}
-    for i, x in rows:
-        if np.isfinite(x).all():
-            scale = np.abs(x).max()
-            if scale > 0:
-                x = x / scale
-                out.setdefault(len(x), []).append((i, x / np.sqrt(x @ x)))
-    return [(np.array([i for i, _ in v]), np.stack([x for _, x in v])) for v in out.values()]
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten()
+    values = pc.fill_null(flat, float("nan")).to_numpy(zero_copy_only=False).astype(np.float64)
+    at = np.cumsum(size) - size
+    out = []
+    for d in np.unique(size[size > 0]).tolist():
+        rows = np.flatnonzero(size == d)
+        m = values[at[rows][:, None] + np.arange(d)]
+        scale = np.abs(m).max(1)
+        ok = np.isfinite(m).all(1) & (scale > 0)
+        if ok.any():
+            m = m[ok] / scale[ok, None]
+            out.append((rows[ok], m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]))
+    return out
 
 
 def _hash(stable: Stable, buckets: int):
@@ -121,22 +129,17 @@ def _compare(stable: Stable, least: float):
                 x, y = np.nonzero(unit[mine] @ unit[other].T >= least)
                 yield mine[x], other[y]
 
-    def chunk(rows: list[tuple]):
-        v = np.array([r[0] for r in rows])
-        key = [r[1:4] for r in rows]
-        start = np.array([k for k in range(len(key)) if not k or key[k] != key[k - 1]])
-        size = np.diff(np.append(start, len(rows)))
-        same = np.array([key[k][1] == key[k][2] for k in start])
-        left = np.array([r[4] == r[2] for r in rows])
-        found = units(pa.array([r[5] for r in rows], pa.list_(pa.float64())))
-        unit = np.zeros((len(rows), max(m.shape[1] for _, m in found)))
+    def chunk(part: pa.Table):
+        v, g, i, j, mine, weight = (part.column(k).to_numpy() for k in range(6))
+        start = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        size = np.diff(np.append(start, len(v)))
+        same, left = (i == j)[start], mine == i
+        found = units(part.column(6))
+        unit, dims = np.zeros((len(v), max(m.shape[1] for _, m in found))), np.zeros(len(v), np.int64)
         for at, m in found:
-            unit[at, : m.shape[1]] = m
-        dims = np.zeros(len(rows), np.int64)
-        for at, m in found:
-            dims[at] = m.shape[1]
+            unit[at, : m.shape[1]], dims[at] = m, m.shape[1]
         group = np.repeat(np.arange(len(size)), size)
-        counts = np.zeros(len(rows), np.int64)
+        counts = np.zeros(len(v), np.int64)
         edges = []
         for x, y in pairs(unit, start, size, left, same):
             ok = dims[x] == dims[y]
@@ -149,10 +152,11 @@ def _compare(stable: Stable, least: float):
                     on = dims[used] == d
                     keys[on] = stable(unit[used[on], :d])
                 ka, kb = keys[inv[: len(a)]], keys[inv[len(a) :]]
-                g = np.array([key[start[q]][0] for q in group[a]], np.int64).view(np.uint64)
                 first = (ka == kb).argmax(1)
-                here = ka[np.arange(len(a)), first] == g
-                counts += np.bincount(a[here], minlength=len(rows)) + np.bincount(b[here], minlength=len(rows))
+                here = ka[np.arange(len(a)), first] == g[a].view(np.uint64)
+                x1, y1 = a[here], b[here]
+                np.add.at(counts, x1, weight[y1])
+                np.add.at(counts, y1, weight[x1])
             if len(x):
                 edges.append(np.stack([x, y]))
         on = np.flatnonzero(counts)
@@ -160,7 +164,7 @@ def _compare(stable: Stable, least: float):
         if edges:
             # links that keep what the pairs connect: to the smallest linked row, until no row changes
             e = np.concatenate(edges, 1)
-            label = np.arange(len(rows))
+            label = np.arange(len(v))
             while True:
                 new = label.copy()
                 np.minimum.at(new, e[0], label[e[1]])
@@ -169,20 +173,27 @@ def _compare(stable: Stable, least: float):
                 if (new == label).all():
                     break
                 label = new
-            on = np.flatnonzero(label != np.arange(len(rows)))
+            on = np.flatnonzero(label != np.arange(len(v)))
             pair = np.unique(np.stack([v[on], v[label[on]]], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.nulls(len(pair), pa.int64())], names=["a", "b", "n"])
 
     def run(batches):
-        rows: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(rows) >= 8192 and row[1:4] != rows[-1][1:4]:
-                    yield from chunk(rows)
-                    rows = []
-                rows.append(row)
-        if rows:
-            yield from chunk(rows)
+            # whole groups only: what follows the last border waits for the next batch
+            held.append(batch)
+            if sum(b.num_rows for b in held) < 8192:
+                continue
+            part = pa.Table.from_batches(held)
+            g, i, j = (part.column(k).to_numpy() for k in (1, 2, 3))
+            border = np.flatnonzero((g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+            if len(border):
+                cut = int(border[-1]) + 1
+                yield from chunk(part.slice(0, cut))
+                part = part.slice(cut)
+            held = part.to_batches()
+        if sum(b.num_rows for b in held):
+            yield from chunk(pa.Table.from_batches(held))
 
     return run
 
@@ -193,18 +204,28 @@ def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     Returns (vec_id, n_links, component_id, kept): the number of other vectors linked directly, the smallest id
     reachable by links, and whether that is the vector itself. Vectors that are null, empty, zero, or hold null or
     non-finite values link with nothing, and vectors of different sizes never link. With the defaults a pair at 0.9
-    shares a bucket with probability 0.94, one at 0.95 with 0.999. Rows with a null id are left out; ids are taken as
-    distinct. Other columns are ignored.
+    shares a bucket with probability 0.94, one at 0.95 with 0.999. Rows with a null id are left out. A row that comes
+    again counts once and comes out once; an id with several vectors has a row for each. Other columns are ignored; an
+    empty table gives no rows.
     """
     spark, n = vectors.sparkSession, partitions(vectors.sparkSession)
     base = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("v"), F.col(vector_col).cast("array<double>").alias("x"))
+    # equal vectors are one class before anything is dealt out: only its smallest id is hashed, with the number of ids
+    usable = (F.size("x") > 0) & ~F.exists("x", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists("x", lambda e: e != 0)
+    ids = base.select("v", F.coalesce(usable, F.lit(False)).alias("usable"), F.xxhash64("x").alias("k1"), F.xxhash64(F.lit(7), "x").alias("k2"), "x")
+    classes = ids.where("usable").groupBy("k1", "k2").agg(F.min("v").alias("rep"), F.first("x").alias("x"))
+    classes = materialise(classes, "lsh-classes")
+    ids = materialise(ids.select("v", "usable", "k1", "k2").distinct().join(classes.select("k1", "k2", "rep"), ["k1", "k2"], "left").select("v", F.when(F.col("usable"), F.col("rep")).alias("rep")), "lsh-ids")
+    weights = materialise(ids.where("rep IS NOT NULL").groupBy("rep").agg(F.count("*").alias("w")), "lsh-weights")
+    once = classes.groupBy("rep").agg(F.first("x").alias("x")).join(weights, "rep").select(F.col("rep").alias("v"), "x", "w")
     stable = Stable(tables, projections, width, seed)
-    dealt = base.mapInArrow(_hash(stable, 16 * n), blob_schema("bucket"))
+    dealt = once.select("v", "x").mapInArrow(_hash(stable, 16 * n), blob_schema("bucket"))
     members = materialise(dealt.repartition(n, "bucket").mapInArrow(_share(block), "v long, g long, i long, j long, mine long"), "lsh-members")
-    met = members.join(base, "v").select("v", "g", "i", "j", "mine", "x").repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j")
+    met = members.join(once, "v").select("v", "g", "i", "j", "mine", "w", "x").repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j")
     found = materialise(met.mapInArrow(_compare(stable, least), "a long, b long, n long"), "lsh-found")
-    counts = found.where("b IS NULL").groupBy(F.col("a").alias("v")).agg(F.sum("n").alias("n_links"))
-    groups = connected_components(found.where("b IS NOT NULL").select("a", "b"), "lsh-groups").select(F.col("id").alias("v"), "component")
-    out = base.select("v").join(counts, "v", "left").join(groups, "v", "left")
-    component = F.coalesce("component", "v")
+    counts = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    groups = connected_components(found.where("b IS NOT NULL").select("a", "b"), "lsh-groups").select(F.col("id").alias("rep"), "component")
+    of_rep = materialise(weights.join(counts, "rep", "left").join(groups, "rep", "left").select("rep", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), "component"), "lsh-reps")
+    component = F.coalesce("component", "rep", "v")
+    out = ids.join(of_rep, "rep", "left")
     return out.select(F.col("v").alias("vec_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), (component == F.col("v")).alias("kept"))
