@@ -1,8 +1,7 @@
 """URL filters by a temporal list join: every capture is judged by the list entries active when it was fetched.
 
 Dated entries (added, removed) become validity intervals. A capture is looked up under its host and each parent
-domain; the join is on the key, as of the fetch time, so that a busy host is a splittable join key and only narrow
-columns move.
+domain, as of the fetch time. Only narrow columns move.
 """
 
 from __future__ import annotations
@@ -45,12 +44,26 @@ def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id",
 
     ``n_entries`` counts the active entries that name the host or a parent domain, ``lists`` joins the names of their
     lists, sorted, by commas; a capture without any is allowed. A capture without a host or a time matches nothing.
-    Ids are taken as distinct; captures with a null id are left out. Other columns are ignored.
+    A capture that comes again, with its host and time, comes out once; one with several hosts or times has a row for
+    each. Captures with a null id are left out. Other columns are ignored; empty tables are no special case.
+
+    The join is as of the fetch time: captures stand in one timeline with the changes of each list that names their key,
+    and take the last change before them. Timelines are cut into months, each of which begins with what was active
+    before, so that a busy key is many groups; a capture meets as many rows as lists name its key, not their intervals.
     """
-    spark_intervals = materialise(validity_intervals(entries), "url-intervals")
-    seen = captures.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("page_id"), host_of(F.col(url_col)).alias("host"), F.col(time_col).cast("timestamp").alias("at"))
-    looked = seen.select("page_id", "at", F.explode(domains_of(F.col("host"))).alias("key"))
-    hit = looked.join(spark_intervals, "key").where("since <= at AND (until IS NULL OR at < until)").select("page_id", "list", "key")
-    verdict = hit.groupBy("page_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"))
-    out = seen.select("page_id", "host").join(verdict, "page_id", "left")
+    intervals = materialise(validity_intervals(entries), "url-intervals")
+    seen = captures.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("page_id"), host_of(F.col(url_col)).alias("host"), F.col(time_col).cast("timestamp").alias("at")).distinct()
+    looked = seen.where("at IS NOT NULL").select("page_id", "host", "at", F.explode(domains_of(F.col("host"))).alias("key"), F.date_trunc("month", "at").alias("month"))
+    wanted = materialise(looked.select("key", "month").distinct(), "url-months")
+    turn = lambda ts, rank, on: ("key", "list", F.date_trunc("month", ts).alias("month"), F.col(ts).alias("ts"), F.lit(rank).alias("rank"), F.lit(on).alias("active"))
+    turns = intervals.select(*turn("since", 1, True)).unionAll(intervals.where("until IS NOT NULL").select(*turn("until", 1, False))).join(wanted, ["key", "month"], "left_semi")
+    before = intervals.join(wanted, "key").where("since < month AND (until IS NULL OR until >= month)").select(*turn("month", 0, True))
+    marks = materialise(turns.select("key", "list", "month", "ts", "rank", "active").unionAll(before), "url-marks")
+    asked = looked.join(marks.select("key", "month", "list").distinct(), ["key", "month"])
+    line = marks.select("key", "list", "month", "ts", "rank", "active", *(F.lit(None).cast(t).alias(c) for c, t in (("page_id", "long"), ("host", "string"))))
+    line = line.unionAll(asked.select("key", "list", "month", F.col("at").alias("ts"), F.lit(2).alias("rank"), F.lit(None).cast("boolean").alias("active"), "page_id", "host"))
+    so_far = Window.partitionBy("key", "list", "month").orderBy("ts", "rank").rowsBetween(Window.unboundedPreceding, 0)
+    hit = line.withColumn("active", F.last("active", ignorenulls=True).over(so_far)).where("rank = 2 AND active")
+    verdict = hit.groupBy("page_id", "host", F.col("ts").alias("at")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"))
+    out = seen.join(verdict, ["page_id", "host", "at"], "left")
     return out.select("page_id", "host", F.coalesce("n", F.lit(0).cast("long")).alias("n_entries"), F.coalesce("lists", F.lit("")).alias("lists"), F.col("n").isNull().alias("allowed"))
