@@ -19,12 +19,11 @@ BATCH_BYTES = 8 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that the whole cluster shares (``spark.checkpoint.dir``); a temporary one only where it is unset."""
-    try:
-        found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    except Exception:  # the setting may be unknown to a session
-        found = None
+    """The folder that the whole cluster shares (``spark.checkpoint.dir``); a temporary one where a local session has none."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         found = os.path.join(tempfile.gettempdir(), "scholarmill-work")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

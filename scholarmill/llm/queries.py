@@ -53,14 +53,14 @@ def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _list_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dated list entries: every event changes the entries of the hosts and domains that share its slot."""
-    hosts = _table(spark, sf_dir, "pages").select(url_filter.host_of(F.col("url")).alias("host")).distinct()
-    keys = hosts.select(F.explode(url_filter.domains_of(F.col("host"))).alias("key")).distinct()
-    keys = keys.withColumn("slot", F.conv(F.substring(F.md5("key"), 1, 6), 16, 10).cast("long") % 4096)
+    """Dated list entries: every event changes the entry of some page's host, every third one that of its parent domain."""
+    pages = _table(spark, sf_dir, "pages").where("page_id IS NOT NULL").select("page_id", url_filter.domains_of(url_filter.host_of(F.col("url"))).alias("keys"))
+    bounds = pages.agg(F.min("page_id").alias("least"), (F.max("page_id") - F.min("page_id") + 1).alias("n"))
     kind = F.when(F.col("event_type").isin("view", "error"), "abuse").otherwise("policy")
     action = F.when(F.col("event_type").isin("error", "purchase"), "remove").otherwise("add")
-    events = _table(spark, sf_dir, "events").select(kind.alias("list"), action.alias("action"), "ts", (F.col("event_id") % 4096).alias("slot"))
-    return keys.join(events, "slot").select("list", "key", "action", "ts")
+    events = _table(spark, sf_dir, "events").crossJoin(F.broadcast(bounds)).select(kind.alias("list"), action.alias("action"), "ts", "event_id", (F.col("least") + F.col("event_id") % F.col("n")).alias("page_id"))
+    named = F.when((F.col("event_id") % 3 == 0) & (F.size("keys") > 1), F.get("keys", F.lit(1))).otherwise(F.get("keys", F.lit(0)))
+    return events.join(pages, "page_id").select("list", named.alias("key"), "action", "ts")
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +129,24 @@ n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT v.vec_id, coalesce(n.n, 0) AS n_links, least(v.vec_id, coalesce(c.component, v.vec_id)) AS component_id,
   least(v.vec_id, coalesce(c.component, v.vec_id)) = v.vec_id AS kept
 FROM v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN c ON c.node = v.vec_id
+""",
+    "op3_suffix_array_dedup": r"""
+WITH t AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents WHERE doc_id IS NOT NULL),
+i AS (SELECT doc_id, x, unnest(range(0, n - 199)) AS s FROM t),
+k AS (SELECT doc_id, s, md5(substr(x, 2 * s + 1, 400)) AS h FROM i),
+d AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY h) AS c FROM k) WHERE c > 1),
+m AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 200 THEN 0 ELSE 1 END AS fresh FROM d),
+g AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS r FROM m),
+spans AS (SELECT doc_id, min(s) AS b, max(s) + 200 AS e FROM g GROUP BY doc_id, r),
+parts AS (
+  SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS a, b FROM spans
+  UNION ALL SELECT doc_id, max(e), NULL FROM spans GROUP BY doc_id),
+kept AS (
+  SELECT t.doc_id, string_agg(substr(x, 2 * a + 1, 2 * (coalesce(b, n) - a)), '' ORDER BY a) AS y, count(*) - 1 AS n_spans
+  FROM parts JOIN t USING (doc_id) GROUP BY t.doc_id)
+SELECT t.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(n - length(coalesce(y, x)) // 2 AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id)
 """,
     "op4_substring_dedup": r"""
 WITH w AS (
@@ -145,18 +163,20 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(r) AS BIGINT) AS n_rem
 """,
     "op8_url_filters": r"""
 WITH seen AS (
-  SELECT page_id, regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '^www\.', '') AS host,
+  SELECT DISTINCT page_id, regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '^www\.', '') AS host,
          TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(page_id * 37 % 41760 AS BIGINT)) AS at_time
   FROM pages WHERE page_id IS NOT NULL),
 labelled AS (SELECT page_id, host, at_time, string_split(host, '.') AS l FROM seen WHERE host <> ''),
 looked AS (
   SELECT page_id, at_time, array_to_string(l[i:], '.') AS key
   FROM (SELECT *, unnest(range(1, greatest(len(l), 2))) AS i FROM labelled)),
-keys AS (SELECT DISTINCT key FROM looked),
+bounds AS (SELECT min(page_id) AS least, max(page_id) - min(page_id) + 1 AS n FROM pages),
+hosts AS (SELECT DISTINCT page_id, host, l FROM labelled),
 entries AS (
-  SELECT CASE WHEN event_type IN ('view', 'error') THEN 'abuse' ELSE 'policy' END AS list, key,
+  SELECT CASE WHEN event_type IN ('view', 'error') THEN 'abuse' ELSE 'policy' END AS list,
+         CASE WHEN event_id % 3 = 0 AND len(l) > 2 THEN array_to_string(l[2:], '.') ELSE host END AS key,
          max(CASE WHEN event_type IN ('error', 'purchase') THEN 'remove' ELSE 'add' END) AS action, ts
-  FROM keys JOIN events ON CAST(('0x' || substr(md5(key), 1, 6)) AS BIGINT) % 4096 = event_id % 4096
+  FROM events CROSS JOIN bounds JOIN hosts ON hosts.page_id = least + event_id % n
   GROUP BY ALL),
 last_change AS (
   SELECT k.page_id, k.key, n.list,

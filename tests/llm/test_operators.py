@@ -1,6 +1,7 @@
 """Every operator on small hard cases, against plain Python versions."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -153,7 +154,8 @@ def test_many_contexts_of_one_passage_are_dealt_in_parts(spark):
     assert got == {k * 3: [(20, 90)] for k in range(1, 30)}
 
 
-def test_suffix_array_parts_of_one_anchor(spark):
+@pytest.mark.parametrize("chunk", [4, 7])
+def test_suffix_array_parts_of_one_anchor(spark, chunk):
     """More contents of one anchor than a part holds: a content that comes in several groups is no repeat of itself."""
     from scholarmill.llm import repeats
 
@@ -162,7 +164,7 @@ def test_suffix_array_parts_of_one_anchor(spark):
     passage = "".join(rng.choice("abcdefgh ") for _ in range(260))
     values = ["".join(rng.choice("ijklmnop ") for _ in range(300)) + passage + "".join(rng.choice("ijklmnop ") for _ in range(300)) for _ in range(30)]
     base = frame(spark, values).select("doc_id", "text")
-    spans = repeats.repeated_spans(base, suffix_array._tokenise, suffix_array._locate, suffix_array._decide(200), 200, 16, 4, False, "suffix-parts")
+    spans = repeats.repeated_spans(base, suffix_array._tokenise, suffix_array._locate, suffix_array._decide(200), 200, 16, chunk, False, "suffix-parts")
     got = {r.doc_id: repeats.union_spans([s.asDict() for s in r.spans], 10**6) for r in spans.collect()}
     seen = {}
     for t in values:
@@ -314,11 +316,29 @@ def test_packing(spark):
     assert len(by) <= -(-sum(r.length for r in rows) // 256) + 2
 
 
+def test_packing_encodes_words_together():
+    library = Tokenizer.from_file(DEFINITION)
+    encode = packing.Encoder(open(DEFINITION, encoding="utf-8").read())
+    rng = random.Random(11)
+    odd = ["<|endoftext|>", "a<|endoftext|>b", "<|startoftext|>.", "it's", "Σας", "İ", "x\u0301\u0301", "中文", "12,5", "\x1c", "a\xa0b", "<|", "|>", "!?", "ﬁ", "é", "𝒳"]
+    values = [" ".join(rng.choice(odd) if rng.random() < 0.4 else "".join(rng.choice("abÀé.'<|>1 ") for _ in range(rng.randint(1, 9))) for _ in range(300)) for _ in range(40)]
+    for lo in range(0, 40, 10):
+        for v, ids in zip(values[lo : lo + 10], encode(values[lo : lo + 10]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(v, add_special_tokens=False).ids
+
+
 def test_packing_plan_uses_exact_sums():
-    assert packing.exact_fill(np.array([0, 1, 1, 1]), 3) == (3,)
-    assert packing.exact_fill(np.array([0, 0, 0, 0, 2, 0, 0, 0, 0]), 8) == (4, 4)
-    assert packing.exact_fill(np.array([0, 0, 0, 0, 1, 0, 0, 0, 0]), 8) is None
+    assert packing.Sums(np.array([0, 1, 1, 1])).fill(3) == (3,)
+    assert packing.Sums(np.array([0, 0, 0, 0, 2, 0, 0, 0, 0])).fill(8) == (4, 4)
+    assert packing.Sums(np.array([0, 0, 0, 0, 1, 0, 0, 0, 0])).fill(8) is None
     rng = random.Random(1)
+    for _ in range(200):  # against all sums of up to three
+        counts = np.array([0, *(rng.choice([0, 0, 1, 2]) for _ in range(20))])
+        sums, gap, held = packing.Sums(counts), rng.randint(1, 20), rng.randint(1, 20)
+        if counts[held]:
+            free = [x for x in range(21) for _ in range(counts[x] - (x == held))]
+            every = [c for k in (1, 2, 3) for c in itertools.combinations(free[::-1], k) if sum(c) == gap]
+            assert sums.fill(gap, (held,)) == (min((c for c in every if len(c) == min(map(len, every))), key=lambda c: [-x for x in c]) if every else None)
     for _ in range(60):
         counts = {rng.randint(1, 50): rng.randint(1, 30) for _ in range(rng.randint(1, 30))}
         used = {}
@@ -347,6 +367,24 @@ def test_embedding_links(spark):
     assert all(got[k].component_id == 0 for k in range(50, 90))
 
 
+def test_embedding_recall_and_equal_vectors(spark):
+    """Recall at the threshold against brute force; equal vectors in large classes count as they should."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((400, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    side = rng.standard_normal((400, 64))
+    side -= (side * base).sum(1)[:, None] * base
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    for cosine, least in ((0.9001, 0.9), (0.92, 0.95), (0.95, 0.99)):
+        x = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * side])
+        rows = [(k, v.tolist()) for k, v in enumerate(x)]
+        got = {r.vec_id: r.component_id for r in embedding_lsh.embedding_near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+        assert sum(got[400 + k] == got[k] for k in range(400)) >= least * 400
+    rows = [(k, base[k % 2].tolist()) for k in range(600)] + [(k, base[0].tolist()) for k in (0, 2, 4)] + [(900, None), (900, None)]
+    out = embedding_lsh.embedding_near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in out) == [(k, 299, k % 2, k < 2) for k in range(600)] + [(900, 0, 900, True)]
+
+
 def test_components(spark):
     edges = [(0, k) for k in range(1, 200)] + [(1000 + k, 1001 + k) for k in range(150)] + [(5000, 5000), (None, 3)]
     got = common.connected_components(spark.createDataFrame(edges, "a long, b long"))
@@ -362,6 +400,34 @@ def test_url_filter(spark):
     assert got == {1: ("a.b.example.com", 2, "l,m", False), 2: ("b.example.com", 0, "", True), 3: ("", 0, "", True), 4: ("", 0, "", True), 5: ("c.org", 0, "", True), 6: ("a.b.example.com", 1, "m", False)}
 
 
+def test_url_filter_against_definition(spark):
+    """Random timelines over months, ties, repeated captures, clashing columns."""
+    import datetime as dt
+
+    rng = random.Random(3)
+    day = lambda: dt.datetime(2024, 1, 1) + dt.timedelta(days=rng.randint(0, 100))
+    hosts = ["a.x.org", "b.x.org", "x.org", "y.com"]
+    entries = [(rng.choice("lmn"), rng.choice(hosts), rng.choice(["add", "remove"]), day()) for _ in range(160)]
+    captures = [(k, f"http://{rng.choice(hosts)}/{k}", day(), "x") for k in range(80)] + [(200, None, day(), "x"), (201, "http://y.com", None, "x")]
+    captures += captures[:5]
+    got = url_filter.url_filter(spark.createDataFrame(captures, "page_id long, url string, fetched timestamp, list string").repartition(3), spark.createDataFrame(entries, "list string, key string, action string, ts timestamp")).collect()
+    expected = set()
+    for page, url, at, _ in captures:
+        host = (url or "//").split("/")[2] if url else ""
+        keys = {host, "x.org"} if host.endswith(".x.org") else {host}
+        active = []
+        for name in "lmn":
+            for key in keys:
+                past = [(ts, action) for n, k, action, ts in entries if n == name and k == key and at and ts <= at]
+                if past and max(past)[1] == "add":  # of both at one time the removal counts
+                    active.append(name)
+        expected.add((page, host, len(active), ",".join(sorted(set(active))), not active))
+    assert len(got) == len(expected) and {(r.page_id, r.host, r.n_entries, r.lists, r.allowed) for r in got} == expected
+    none = spark.createDataFrame([], "list string, key string, action string, ts timestamp")
+    assert url_filter.url_filter(spark.createDataFrame(captures, "page_id long, url string, fetched timestamp, list string"), none).where("NOT allowed").count() == 0
+    assert url_filter.url_filter(spark.createDataFrame([], "page_id long, url string, fetched timestamp"), none).count() == 0
+
+
 def test_quality(spark):
     rng = random.Random(2)
     good, bad = ["alpha", "beta", "gamma", "delta"], ["qqq!!", "zzz!!", "xxx!!"]
