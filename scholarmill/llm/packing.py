@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import REMEMBERED, split_words, worker_store
+from .bpe import split_words, worker_store
 from .common import materialise, slices, small_batches, utf8
 
 #: Text bytes whose words are encoded together.
 ENCODED_BYTES = 2 << 20
+#: Words remembered in one of two generations, at some 200 bytes each.
+ENCODED_WORDS = 600_000
 
 
 class Sums:
@@ -160,7 +162,7 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         words = [split_words(x) for x in texts]
-        if len(self.now) > REMEMBERED:
+        if len(self.now) > ENCODED_WORDS:
             self.now, self.before = {}, self.now
         missing = set().union(*words).difference(self.now)
         again = missing.intersection(self.before)
