@@ -101,7 +101,11 @@ def orcid(c: Column) -> Column:
 
 
 #: Words that mark an author value as an institution.
-INSTITUTION_WORDS = ("university", "institute", "college", "department", "faculty", "hospital", "ministry", "laboratory", "centre", "center", "school", "academy")
+INSTITUTION_WORDS = """
+university department faculty institute institution college centre center school hospital ministry laboratory laboratories
+academy council society association foundation division office unit programme program project library museum corporation
+company ltd pvt inc
+""".split()
 
 
 def looks_like_institution(c: Column) -> Column:

@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title>", re.I | re.S)
 _META = re.compile(r"<meta\b[^>]*\bname=[\"'](citation_[a-z_]+)[\"'][^>]*\bcontent=[\"']([^\"']*)", re.I)
 # Fixed values
-_PARTICLES = frozenset("da de del della der di dos du la le van von".split())
-_SUFFIXES = frozenset("jr sr ii iii iv".split())
-_HONORIFICS = frozenset("dr prof mr mrs ms rev sir".split())
+_PARTICLES = frozenset("de del della di da das dos du van von der den ter ten le la el al bin ibn bint abu mac mc st saint".split())
+_SUFFIXES = frozenset("jr jnr sr snr ii iii iv v phd ph d dphil mphil msc bsc ma mba md mbbs bds dvm frcp frcs facs fracp fcp mrcp dsc dr eng esq emeritus retd".split())
+_HONORIFICS = frozenset("prof professor dr doctor mr mrs ms miss rev sir eng ir hon".split())
 
 
 def clean_title(value: str | None) -> str | None:

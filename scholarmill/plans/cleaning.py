@@ -71,16 +71,17 @@ def multivalue_items(spark: SparkSession, folder: str) -> DataFrame:
     return pub.select("publication_key", F.posexplode(C.distinct_caseless(C.split_list(F.col("institutions")))).alias("p", "item")).select("publication_key", (F.col("p") + 1).cast("long").alias("item_index"), "item")
 
 
-@query("multivalue_cells", """SELECT doc_id, lang || '; ' || source AS clean FROM documents""")
+@query("multivalue_cells", """WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(lang || ' ;' || source || ';;' || upper(lang) || '; ' || source, ';'), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)
+SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i), '; ') AS clean FROM l""")
 def multivalue_cells(spark: SparkSession, folder: str) -> DataFrame:
     """List cells without repeats that differ in case only, in order of first mention."""
     raw = F.concat("lang", F.lit(" ;"), "source", F.lit(";;"), F.upper("lang"), F.lit("; "), "source")
     return table(spark, folder, "documents").select("doc_id", F.array_join(C.distinct_caseless(C.split_list(raw)), "; ").alias("clean"))
 
 
-@query("search_text", """SELECT doc_id, trim(regexp_replace(lower(lang || ' ' || source || '  ' || left(text, 200)), '\\s+', ' ', 'g')) AS search_text, source = 'src0' AS missing_source FROM documents""")
+@query("search_text", """SELECT doc_id, trim(regexp_replace(lower(lang || ' ' || source || '  ' || coalesce(text, '')), '\\s+', ' ', 'g')) AS search_text, source = 'src0' AS missing_source FROM documents""")
 def search_text(spark: SparkSession, folder: str) -> DataFrame:
-    joined = F.concat("lang", F.lit(" "), "source", F.lit("  "), F.substring("text", 1, 200))
+    joined = F.concat("lang", F.lit(" "), "source", F.lit("  "), F.coalesce("text", F.lit("")))
     return table(spark, folder, "documents").select("doc_id", F.trim(F.regexp_replace(F.lower(joined), r"\s+", " ")).alias("search_text"), (F.col("source") == "src0").alias("missing_source"))
 
 
@@ -173,10 +174,10 @@ def author_names(spark: SparkSession, folder: str) -> DataFrame:
     return parsed_names(names, "name")
 
 
-@query("inverted_index_text", """SELECT doc_id, array_to_string(list_filter(string_split(left(text, 300), ' '), lambda w: w <> ''), ' ') AS abstract FROM documents""")
+@query("inverted_index_text", """SELECT doc_id, array_to_string(list_filter(string_split(text, ' '), lambda w: w <> ''), ' ') AS abstract FROM documents""")
 def inverted_index_text(spark: SparkSession, folder: str) -> DataFrame:
     """Text put together again from an index word -> places."""
-    words = table(spark, folder, "documents").select("doc_id", F.filter(F.split(F.substring("text", 1, 300), " "), lambda w: w != "").alias("w"))
+    words = table(spark, folder, "documents").select("doc_id", F.filter(F.split("text", " "), lambda w: w != "").alias("w"))
     index = words.select("doc_id", F.posexplode_outer("w").alias("at", "word")).groupBy("doc_id", "word").agg(F.collect_list("at").alias("places"))
     placed = index.select("doc_id", F.transform("places", lambda p: F.struct(p.alias("p"), F.col("word").alias("w"))).alias("x")).groupBy("doc_id").agg(F.flatten(F.collect_list("x")).alias("x"))
     return placed.select("doc_id", F.array_join(F.transform(F.array_sort("x"), lambda y: y["w"]), " ").alias("abstract"))
