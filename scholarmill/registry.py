@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from .plans import analytics, cleaning, dedup, learning, networks, quality, records, search, standards, streams  # noqa: E402, F401
+from .plans import analytics, cleaning, dedup, learning, networks, quality, records, search, standards, streams, venues  # noqa: E402, F401
