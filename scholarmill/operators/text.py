@@ -38,24 +38,32 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str, least: int = 2) ->
     return rows.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
-def vocabulary(counts: DataFrame, n_docs: int, least: int, most: float, features: int) -> DataFrame:
-    """(term, df, total): terms in ``least`` documents or more and in at most the part ``most``; the most frequent first."""
-    by_term = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    return by_term.where(F.col("df").between(least, int(most * n_docs))).orderBy(F.desc("total"), F.desc("df"), "term").limit(features)
+def vocabulary(docs: DataFrame, text_col: str, least: int, most: float, features: int, shortest: int = 2) -> tuple[DataFrame, int]:
+    """(term, df, total) and the number of documents, one a row: terms in ``least`` documents or more and in at most the part ``most``.
+
+    The most frequent come first. A document gives its words and, marked, its distinct words, so that both counts are summed
+    by term alone before the shuffle, which then grows with the vocabulary and not with the documents.
+    """
+    n_docs = docs.count()
+    found = F.filter(F.split(F.lower(F.col(text_col)), _SPLIT), lambda w: F.length(w) >= shortest)
+    each = docs.select(found.alias("words")).select(F.explode(F.array(F.struct(F.lit(0).alias("df"), F.col("words").alias("w")), F.struct(F.lit(1).alias("df"), F.array_distinct("words").alias("w")))).alias("x"))
+    by_term = each.select("x.df", F.explode("x.w").alias("term")).groupBy("term").agg(F.sum("df").alias("df"), F.sum(1 - F.col("df")).alias("total"))
+    return by_term.where(F.col("df").between(least, int(most * n_docs))).orderBy(F.desc("total"), F.desc("df"), "term").limit(features), n_docs
 
 
 def tfidf(docs: DataFrame, id_col: str, text_col: str, least: int, most: float, features: int, top: int | None) -> DataFrame:
     """(id, term, weight, rank): each document's ``top`` terms (None: all) by tf x smoothed idf, weights of unit length.
 
-    The vocabulary has ``features`` rows at most and is broadcast up to a million of them.
+    A document is one row. The vocabulary has ``features`` rows at most and is broadcast up to a million of them; words
+    outside of it go before anything is counted by document.
     """
-    n = docs.count()
-    counts = term_counts(docs, id_col, text_col)
-    terms = vocabulary(counts, n, least, most, features).withColumn("idf", F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0).select("term", "idf")
+    terms, n = vocabulary(docs, text_col, least, most, features)
+    terms = terms.withColumn("idf", F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0).select("term", "idf")
     if features <= 1_000_000:
         terms = F.broadcast(terms)
     own = Window.partitionBy(id_col)
-    rows = counts.join(terms, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    words_of = docs.select(id_col, F.explode(F.split(F.lower(F.col(text_col)), _SPLIT)).alias("term")).join(terms, "term")
+    rows = words_of.groupBy(id_col, "term").agg(F.count("*").alias("tf"), F.first("idf").alias("idf")).withColumn("w", F.col("tf") * F.col("idf"))
     rows = rows.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(own)))
     rows = rows.withColumn("rank", F.row_number().over(own.orderBy(F.desc(F.round("w", 9)), "term")).cast("long"))
     return (rows if top is None else rows.where(F.col("rank") <= top)).select(id_col, "term", "weight", "rank")

@@ -57,7 +57,7 @@ v AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term HAVING
 
 @query("tfidf_vocabulary", _TERMS + "SELECT term, df, CAST(total AS BIGINT) AS total FROM v")
 def tfidf_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
-    return text.vocabulary(text.term_counts(table(spark, folder, "documents"), "doc_id", "text"), table(spark, folder, "documents").count(), 5, 0.8, 2000)
+    return text.vocabulary(table(spark, folder, "documents"), "text", 5, 0.8, 2000)[0]
 
 
 @query("tfidf_top_terms", _TERMS + """, x AS (SELECT doc_id, term, tf * (ln((1.0 + (SELECT n FROM n)) / (1.0 + df)) + 1.0) AS w FROM tf JOIN v USING (term)),
