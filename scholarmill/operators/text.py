@@ -32,12 +32,6 @@ def prefix_search(docs: DataFrame, column: str, terms: list[str]) -> DataFrame:
     return found.withColumn("hits", F.size(F.filter("_words", begins)).cast("long")).drop("_words")
 
 
-def term_counts(docs: DataFrame, id_col: str, text_col: str, least: int = 2) -> DataFrame:
-    """(id, term, tf) for terms of ``least`` characters or more."""
-    rows = docs.select(id_col, F.explode(F.split(F.lower(F.col(text_col)), _SPLIT)).alias("term")).where(F.length("term") >= least)
-    return rows.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
-
-
 def vocabulary(docs: DataFrame, text_col: str, least: int, most: float, features: int, shortest: int = 2) -> tuple[DataFrame, int]:
     """(term, df, total) and the number of documents, one a row: terms in ``least`` documents or more and in at most the part ``most``.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import venues as V
+from ..functions.rules import transformed
 from ..registry import query
 from ..sources.tables import PUB_SQL, publications, table
 
@@ -205,3 +206,22 @@ def model_keywords(spark: SparkSession, folder: str) -> DataFrame:
     """Keyword sets for a model, each once: lower case, without repeats, in order."""
     pub = publications(spark, folder, "publication_key", "topics").where(C.present(F.col("topics")))
     return pub.groupBy(F.array_join(F.array_sort(F.array_distinct(C.split_list(F.lower("topics")))), "; ").alias("keywords")).agg(F.min("publication_key").alias("publication_key"), F.count("*").alias("n"))
+
+
+_RULES = {"year": {"type": "extract_year"}, "items": {"type": "split", "separator": "|"}, "words": {"type": "normalize_list"}, "doi": {"type": "normalize_doi"}, "day": {"type": "normalize_date"}, "title": {"type": "normalize_text"}, "absent": {"type": "strip"}}
+
+
+@query("configured_transforms", """WITH d AS (SELECT o_orderkey, o_orderkey % 3 AS k, o_orderpriority AS p, o_orderdate AS t FROM orders)
+SELECT o_orderkey, CASE WHEN k < 2 THEN year(t) END AS year, p || '~x.y' AS items, CASE WHEN k = 0 THEN 'a~b, c' WHEN k = 1 THEN 'a~b' ELSE '' END AS words, CASE WHEN k < 2 THEN '10.1000/' || o_orderkey END AS doi,
+  CASE k WHEN 0 THEN strftime(t, '%Y-%m-%d') WHEN 1 THEN strftime(t, '%Y') END AS day, CASE WHEN k > 0 THEN p || ' study' END AS title FROM d""")
+def configured_transforms(spark: SparkSession, folder: str) -> DataFrame:
+    """Columns under rules from a configuration; lists are joined for the comparison."""
+    i, p, t = F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_orderdate")
+    k = i % 3
+    raw = table(spark, folder, "orders").select(
+        i, F.when(k < 2, F.concat(F.lit("c. "), F.year(t).cast("string"))).otherwise("none").alias("year"), F.concat(F.lit(" | "), p, F.lit(" |x.y|")).alias("items"),
+        F.when(k == 0, " a; b, c ;").when(k == 1, "a,b").alias("words"), F.when(k < 2, F.concat(F.lit("https://doi.org/10.1000/"), i.cast("string"), F.lit("."))).alias("doi"),
+        F.when(k == 0, F.date_format(t, "yyyy-MM-dd")).when(k == 1, F.concat(F.date_format(t, "yyyy"), F.lit("-13-01"))).alias("day"), F.when(k > 0, F.concat(F.lit("  "), p, F.lit("   study "))).otherwise("  ").alias("title"),
+    )
+    done = transformed(raw, _RULES)
+    return done.select("o_orderkey", "year", F.array_join("items", "~").alias("items"), F.array_join("words", "~").alias("words"), "doi", "day", "title")
