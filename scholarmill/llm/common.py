@@ -125,14 +125,17 @@ BYTE_VALUE_LOWER = BYTE_VALUE[_LOWER]
 #: The separators of ``[^\x20\x09-\x0D]+``.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: The separators of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` over lower-cased text, and of that over any text.
+IS_MARK = np.zeros(256, bool)
+IS_MARK[:128] = [not chr(b).isalnum() for b in range(128)]
 
 
-def words_of(buf: np.ndarray, offsets: np.ndarray, rolling: Rolling, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words_of(buf: np.ndarray, offsets: np.ndarray, rolling: Rolling, lower: bool, apart: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of several texts: their (start, end) bytes, 64-bit hashes, and each text's first word (length: texts + 1)."""
     n = len(buf)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    solid = ~IS_SPACE[buf]
+    solid = ~apart[buf]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     first = solid.copy()

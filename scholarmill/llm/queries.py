@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_lsh, line_dedup, media, ngram_join, packing, quality, suffix_array, suffix_automaton, url_filter
+from . import bpe, decontaminate, embedding_lsh, fill_in_middle, line_dedup, media, ngram_join, packing, quality, spelling, suffix_array, suffix_automaton, url_filter
 
 #: The tokenizer definition of the registered queries; the operators take any path.
 DEFINITION = "word_bpe_49k.json"
@@ -82,6 +82,21 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "pos", "caption", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_in_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def interleaved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text and media item of the raw web pages, in order."""
     return media.interleave(_table(spark, sf_dir, "pages"))
@@ -98,6 +113,9 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_media_columns": op10_media_columns,
+    "op11_benchmark_decontamination": op11_benchmark_decontamination,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_spelling_variants": op13_spelling_variants,
     "interleaved_pages": interleaved_pages,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -187,5 +205,67 @@ verdict AS (
   FROM last_change WHERE action = 'add' GROUP BY page_id)
 SELECT s.page_id, s.host, coalesce(v.n, 0) AS n_entries, coalesce(v.lists, '') AS lists, v.n IS NULL AS allowed
 FROM seen s LEFT JOIN verdict v USING (page_id)
+""",
+    "op11_benchmark_decontamination": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l
+  FROM documents WHERE doc_id IS NOT NULL),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l
+  FROM benchmark WHERE item_id IS NOT NULL),
+w AS (
+  SELECT DISTINCT item_id, k, array_to_string(l[i:i + k - 1], ' ') AS t
+  FROM (SELECT item_id, l, least(len(l), 10) AS k, unnest(range(1, greatest(len(l) - 8, 2))) AS i FROM b WHERE len(l) > 0)),
+p AS (SELECT doc_id, l, k, unnest(range(1, len(l) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM w)),
+h AS (SELECT doc_id, i, w.k, item_id FROM (SELECT doc_id, i, k, array_to_string(l[i:i + k - 1], ' ') AS t FROM p) x JOIN w ON w.k = x.k AND w.t = x.t),
+n AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM (SELECT DISTINCT doc_id, i, k FROM h)) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+""",
+    "op12_fill_in_middle": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+h AS (
+  SELECT *, len(l) AS n, CAST('0x' || substr(k, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(k, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(k, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(k, 25, 8) AS BIGINT) AS h4 FROM t),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+x AS (SELECT doc_id, text, n, form, array_to_string(l[1:a], '') AS p, array_to_string(l[a + 1:b], '') AS m, array_to_string(l[b + 1:], '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM x
+""",
+    "op13_spelling_variants": r"""
+WITH RECURSIVE step AS (
+  SELECT CAST(i AS BIGINT) AS i, CAST(i AS BIGINT) AS v, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM step WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS c FROM step WHERE k = 8),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents),
+each_run AS (SELECT doc_id, r, count(*) AS n FROM runs WHERE length(r) >= 5 GROUP BY doc_id, r),
+bytes AS (SELECT doc_id, r, n, hex(encode(doc_id || ':' || r)) AS x FROM each_run),
+sums AS (
+  SELECT doc_id, r, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda j: CAST('0x' || substr(x, 2 * j + 1, 2) AS BIGINT))),
+         lambda h, y: xor(c[(xor(h, y) & 255) + 1], h >> 8)), 4294967295) AS h FROM bytes, crc),
+words AS (
+  SELECT w AS word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT n, CASE WHEN h % 97 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS w FROM sums)
+  WHERE length(w) >= 5 GROUP BY w HAVING sum(n) >= 3),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n FROM less a JOIN less b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON b.word = a.d
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON b.word = a.d),
+best AS (SELECT word, count(*) AS n_near, max(n) AS m FROM pairs GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * w.n THEN m END AS form_n,
+         CASE WHEN m >= 2 * w.n THEN (SELECT min(near) FROM pairs p WHERE p.word = w.word AND p.n = m) END AS form
+  FROM words w LEFT JOIN best USING (word)),
+walk AS (
+  SELECT word, word AS at_word, 0 AS k FROM forms
+  UNION ALL SELECT walk.word, f.form, k + 1 FROM walk JOIN forms f ON f.word = walk.at_word WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM forms f JOIN (SELECT word, max_by(at_word, k) AS root FROM walk GROUP BY word) USING (word)
 """,
 }
