@@ -70,6 +70,12 @@ def name_parts(names: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_name(n) for n in names], columns=["surname", "given"])
 
 
+@F.pandas_udf(T.StringType())
+def folded(texts: pd.Series) -> pd.Series:
+    """Lower case without accents."""
+    return texts.map(fold, na_action="ignore")
+
+
 @F.pandas_udf(T.StringType())
 def title_clean(titles: pd.Series) -> pd.Series:
     return titles.map(clean_title)

@@ -142,3 +142,37 @@ def modularity(edges: DataFrame, groups: DataFrame) -> DataFrame:
     total = both.agg(F.sum("weight").alias("m2"))
     per = both.groupBy("community").agg(F.sum(F.when(F.col("community") == F.col("c2"), F.col("weight")).otherwise(0)).alias("inside"), F.sum("weight").alias("strength"))
     return per.crossJoin(F.broadcast(total)).agg(F.sum(F.col("inside") / F.col("m2") - F.pow(F.col("strength") / F.col("m2"), 2)).alias("modularity"), F.count("*").alias("communities"))  # the total is one row
+
+
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """(a, b, weight): a maximum spanning forest of edges (a, b, weight), so that the groups of every threshold are in it.
+
+    Ends that edges of at least a weight connect are connected by the forest's edges of at least that weight. Of equal
+    weights the smaller ends come first. Every round each tree takes its heaviest edge to another one, trees are
+    contracted by pointer doubling, and of the edges between two trees the heaviest stays: joins and minima only, and
+    rounds grow with the logarithm of the graph. Self-links, repeats and edges without a weight are no special case.
+    """
+    usable = edges.where("a <> b AND weight IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("weight").cast("double").alias("weight"))
+    heaviest = F.min(F.struct((-F.col("weight")).alias("w"), "a", "b")).alias("e")
+    live = written(usable.groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(heaviest), "forest-edges")
+    taken = None
+    while not live.isEmpty():
+        ends = live.select(F.col("x").alias("u"), F.col("y").alias("v"), "e").unionAll(live.select("y", "x", "e"))
+        best = written(ends.groupBy("u").agg(F.min(F.struct("e", "v")).alias("m")).select("u", F.col("m.v").alias("v"), F.col("m.e").alias("e")), "forest-best")
+        chosen = best.select("e").distinct()
+        taken = chosen if taken is None else taken.unionAll(chosen)
+        # trees point along their edge; of two that point at each other the smaller one is the root
+        other = best.select(F.col("u").alias("v"), F.col("v").alias("back"))
+        to = best.join(other, "v").select("u", F.when((F.col("back") == F.col("u")) & (F.col("u") < F.col("v")), F.col("u")).otherwise(F.col("v")).alias("r"))
+        to = written(to, "forest-to")
+        while True:
+            further = to.select(F.col("u").alias("r"), F.col("r").alias("r2"))
+            to = written(to.join(further, "r").select("u", F.col("r2").alias("r"), (F.col("r2") != F.col("r")).alias("moved")), "forest-to")
+            if to.where("moved").isEmpty():
+                break
+            to = to.select("u", "r")
+        moved = live.join(to.select(F.col("u").alias("x"), F.col("r").alias("rx")), "x").join(to.select(F.col("u").alias("y"), F.col("r").alias("ry")), "y").where("rx <> ry")
+        live = written(moved.groupBy(F.least("rx", "ry").alias("x"), F.greatest("rx", "ry").alias("y")).agg(F.min("e").alias("e")), "forest-edges")
+    if taken is None:
+        return usable.limit(0)
+    return written(taken.select("e.a", "e.b", (-F.col("e.w")).alias("weight")), "forest")

@@ -45,21 +45,28 @@ def vocabulary(docs: DataFrame, text_col: str, least: int, most: float, features
     return by_term.where(F.col("df").between(least, int(most * n_docs))).orderBy(F.desc("total"), F.desc("df"), "term").limit(features), n_docs
 
 
+def weigh(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
+    """(id, columns of ``terms`` but its idf, weight): tf x ``idf`` of the terms (term, idf, ...), of unit length for each id.
+
+    Words outside of the vocabulary go before anything is counted by document; whether it is broadcast is left to its size.
+    """
+    more = [c for c in terms.columns if c not in ("term", "idf")]
+    words_of = docs.select(id_col, F.explode(F.split(F.lower(F.col(text_col)), _SPLIT)).alias("term")).join(terms, "term")
+    rows = words_of.groupBy(id_col, "term").agg(F.count("*").alias("tf"), *(F.first(c).alias(c) for c in ("idf", *more))).withColumn("w", F.col("tf") * F.col("idf"))
+    rows = rows.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col))))
+    return rows.select(id_col, "term", *more, "w", "weight")
+
+
 def tfidf(docs: DataFrame, id_col: str, text_col: str, least: int, most: float, features: int, top: int | None) -> DataFrame:
     """(id, term, weight, rank): each document's ``top`` terms (None: all) by tf x smoothed idf, weights of unit length.
 
-    A document is one row. The vocabulary has ``features`` rows at most and is broadcast up to a million of them; words
-    outside of it go before anything is counted by document.
+    A document is one row. The vocabulary has ``features`` rows at most.
     """
     terms, n = vocabulary(docs, text_col, least, most, features)
     terms = terms.withColumn("idf", F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0).select("term", "idf")
-    if features <= 1_000_000:
-        terms = F.broadcast(terms)
-    own = Window.partitionBy(id_col)
-    words_of = docs.select(id_col, F.explode(F.split(F.lower(F.col(text_col)), _SPLIT)).alias("term")).join(terms, "term")
-    rows = words_of.groupBy(id_col, "term").agg(F.count("*").alias("tf"), F.first("idf").alias("idf")).withColumn("w", F.col("tf") * F.col("idf"))
-    rows = rows.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(own)))
-    rows = rows.withColumn("rank", F.row_number().over(own.orderBy(F.desc(F.round("w", 9)), "term")).cast("long"))
+    rows = weigh(docs, id_col, text_col, terms)
+    best = Window.partitionBy(id_col).orderBy(F.desc(F.round("w", 9)), "term")
+    rows = rows.withColumn("rank", F.row_number().over(best).cast("long"))
     return (rows if top is None else rows.where(F.col("rank") <= top)).select(id_col, "term", "weight", "rank")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import models, text
+from ..operators import embeddings, models, text
 from ..registry import query
 from ..sources.tables import PUB_SQL, publications, table
 
@@ -141,3 +141,27 @@ def classifier_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Documents scored by a logistic regression on hashed TF-IDF features, learned from the labels."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return models.text_classifier(docs, table(spark, folder, "labels"), "quality")
+
+
+def _embedded(spark: SparkSession, folder: str) -> tuple[embeddings.TextEmbedding, DataFrame]:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return embeddings.fit_text(docs, "doc_id", "text", least=5, most=0.8, features=2000, rank=32), docs
+
+
+@query("text_embeddings")
+def text_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as 32 dimensions of unit length, from a truncated decomposition of their TF-IDF weights."""
+    fitted, docs = _embedded(spark, folder)
+    return fitted.embed(docs, "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+@query("semantic_search")
+def semantic_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten documents nearest to a query's embedding."""
+    fitted, docs = _embedded(spark, folder)
+    asked = spark.createDataFrame([(0, "the station of nations with information and relations")], "id long, text string")
+    vector = fitted.embed(asked, "id", "text").first()
+    if vector is None:
+        return fitted.embed(docs.limit(0), "doc_id", "text").select(F.col("id").alias("doc_id"), F.lit(0.0).alias("score"))
+    found = fitted.embed(docs, "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return text.search_by_vector(found, "doc_id", "embedding", list(vector.embedding), 10).select("doc_id", "score")
