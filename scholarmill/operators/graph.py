@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.work import written
+from .ordered import running
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -53,61 +51,68 @@ def summary(edges: DataFrame) -> DataFrame:
     return n.crossJoin(e).withColumn("density", F.col("edges") * 2.0 / F.nullif(F.col("nodes") * (F.col("nodes") - 1), F.lit(0)))  # one row each
 
 
-#: Nodes that a graph may have for path centralities, whose adjacency goes to every task.
-MOST_NODES = 20_000
+def _distances(start: DataFrame, near: DataFrame, epsilon: float) -> DataFrame:
+    """(s, v, d): the shortest distance from every start (s) to the nodes that it reaches.
+
+    Each round the nodes whose distance fell last meet their neighbours; a distance counts as less by ``epsilon``.
+    """
+    state = written(start.select("s", F.col("s").alias("v"), F.lit(0.0).alias("d"), F.lit(True).alias("fresh")), "distances")
+    while True:
+        ahead = state.where("fresh").select("s", "v", "d").join(near, "v").groupBy("s", F.col("w").alias("v")).agg(F.min(F.col("d") + F.col("length")).alias("e"))
+        met = state.select("s", "v", "d").join(ahead, ["s", "v"], "full")
+        less = F.col("e").isNotNull() & (F.col("d").isNull() | (F.col("e") < F.col("d") - epsilon))
+        state = written(met.select("s", "v", F.when(less, F.col("e")).otherwise(F.col("d")).alias("d"), less.alias("fresh")), "distances")
+        if state.where("fresh").isEmpty():
+            return state.select("s", "v", "d")
+
+
+def _walked(start: DataFrame, steps: DataFrame, own: str, to: str) -> DataFrame:
+    """(s, own, x): what flows from ``start(s, own, x)`` along ``steps(s, own, to, share)``, over all numbers of steps.
+
+    The steps must have no ring, so that the flow ends.
+    """
+    front = written(start, "flow")
+    total = front
+    while not front.isEmpty():
+        moved = front.join(steps, ["s", own]).groupBy("s", F.col(to).alias(own)).agg(F.sum(F.col("x") * F.col("share")).alias("x"))
+        front = written(moved, "flow")
+        total = total.unionAll(front)
+    return written(total.groupBy("s", own).agg(F.sum("x").alias("x")), "flows")
 
 
-def path_centrality(edges: DataFrame, most_nodes: int = MOST_NODES, epsilon: float = 1e-12) -> DataFrame:
-    """(node, betweenness, closeness) with lengths 1 / weight; sources are dealt out over the tasks.
+def path_centrality(edges: DataFrame, epsilon: float = 1e-12, most_rows: int = 200_000_000) -> DataFrame:
+    """(node, betweenness, closeness) with lengths 1 / weight.
 
     Betweenness counts the shortest paths through a node, over ordered pairs of others; closeness is scaled by the part
-    of the graph that is reached. The adjacency is broadcast: a graph of more than ``most_nodes`` nodes is refused.
+    of the graph that is reached. Sources are taken in blocks, so that a block has about ``most_rows`` pairs of a source and
+    a node at most. Distances, numbers of paths and what nodes owe to those before them are rounds of joins over the nodes
+    that changed last, with their state in the shared folder. Repeated edges count with their weights' sum, self-links and
+    edges without a positive weight are left out; no edges give no rows.
     """
-    spark = edges.sparkSession
-    all_nodes = symmetric(edges).select("node").distinct()
-    n = all_nodes.count()
-    if n > most_nodes:
-        raise ValueError(f"{n} nodes; path centralities take {most_nodes} at most")
-    near: dict[str, list[tuple[str, float]]] = {}
-    for r in symmetric(edges).collect():
-        near.setdefault(r.node, []).append((r.other, 1.0 / r.weight))
-    shared = spark.sparkContext.broadcast(near)
-
-    def run(batches):
-        graph = shared.value
-        for pdf in batches:
-            through: dict[str, float] = {}
-            rows = []
-            for s in pdf.node:
-                dist, paths, before, done, heap = {s: 0.0}, {s: 1.0}, {s: []}, [], [(0.0, s)]
-                closed = set()
-                while heap:
-                    d, v = heapq.heappop(heap)
-                    if v in closed:
-                        continue
-                    closed.add(v)
-                    done.append(v)
-                    for w, length in graph.get(v, ()):
-                        at = d + length
-                        if w not in dist or at < dist[w] - epsilon:
-                            dist[w], paths[w], before[w] = at, paths[v], [v]
-                            heapq.heappush(heap, (at, w))
-                        elif abs(at - dist[w]) <= epsilon and w not in closed:
-                            paths[w] += paths[v]
-                            before[w].append(v)
-                owed = dict.fromkeys(done, 0.0)
-                for w in reversed(done):
-                    for v in before[w]:
-                        owed[v] += paths[v] / paths[w] * (1 + owed[w])
-                    if w != s:
-                        through[w] = through.get(w, 0.0) + owed[w]
-                reach, total = len(done) - 1, sum(dist[v] for v in done)
-                rows.append((s, 0.0, reach / total * reach / (n - 1) if total > 0 and n > 1 else 0.0))
-            rows += [(v, x, 0.0) for v, x in through.items()]
-            yield pd.DataFrame(rows, columns=["node", "betweenness", "closeness"])
-
-    parts = all_nodes.repartition(F.col("node")).mapInPandas(run, "node string, betweenness double, closeness double")
-    scale = (n - 1) * (n - 2) or 1
+    usable = edges.where("source <> target AND weight > 0").select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"), "weight")
+    near = symmetric(usable.groupBy("source", "target").agg(F.sum("weight").alias("weight"))).select(F.col("node").alias("v"), F.col("other").alias("w"), (1.0 / F.col("weight")).alias("length"))
+    near = written(near, "neighbours")
+    nodes = written(near.select(F.col("v").alias("s")).distinct(), "sources")
+    n = nodes.count()
+    blocks = max(1, -(-n * n // most_rows))
+    parts = None
+    for block in range(blocks):
+        start = nodes.where(F.pmod(F.xxhash64("s"), F.lit(blocks)) == block)
+        far = _distances(start, near, epsilon)
+        here, there = far.select("s", "v", F.col("d").alias("dv")), far.select("s", F.col("v").alias("w"), F.col("d").alias("dw"))
+        steps = here.join(near, "v").join(there, ["s", "w"]).where(F.abs(F.col("dv") + F.col("length") - F.col("dw")) <= epsilon).select("s", "v", "w")
+        steps = written(steps.withColumn("share", F.lit(1.0)), "shortest-steps")
+        paths = _walked(start.select("s", F.col("s").alias("v"), F.lit(1.0).alias("x")), steps, "v", "w")
+        back = steps.select("s", "v", "w").join(paths.withColumnRenamed("x", "pv"), ["s", "v"]).join(paths.select("s", F.col("v").alias("w"), F.col("x").alias("pw")), ["s", "w"])
+        back = written(back.select("s", "w", "v", (F.col("pv") / F.col("pw")).alias("share")), "shortest-back")
+        # every node passes one unit, and what it owes itself, to the nodes before it
+        owed = _walked(back.groupBy("s", F.col("v").alias("w")).agg(F.sum("share").alias("x")), back, "w", "v")
+        through = owed.where("s <> w").groupBy(F.col("w").alias("node")).agg(F.sum("x").alias("betweenness"))
+        close = far.groupBy("s").agg((F.count("*") - 1).alias("reach"), F.sum("d").alias("total"))
+        close = close.select(F.col("s").alias("node"), F.when((F.col("total") > 0) & F.lit(n > 1), F.col("reach") / F.col("total") * F.col("reach") / F.lit(max(n - 1, 1))).otherwise(0.0).alias("closeness"))
+        part = through.select("node", "betweenness", F.lit(0.0).alias("closeness")).unionAll(close.select("node", F.lit(0.0), "closeness"))
+        parts = part if parts is None else parts.unionAll(part)
+    scale = float((n - 1) * (n - 2) or 1)
     return parts.groupBy("node").agg((F.sum("betweenness") / scale).alias("betweenness"), F.sum("closeness").alias("closeness"))
 
 
@@ -130,10 +135,9 @@ def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
         if still > 1:
             break
     size = label.groupBy("label").agg(F.count("*").alias("n"), F.min("node").alias("least"))
-    # a number for each community: rank of (size, smallest node) by counting, over ranges sorted apart
-    ordered = size.orderBy(F.desc("n"), "least").select("label", "n", "least")
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: (x[0]["label"], x[1] + 1)).toDF("label string, community long")
-    return label.join(numbered, "label").select("node", "community")
+    ordered = size.select("label", (-F.col("n")).alias("size"), "least", F.lit(1).cast("long").alias("one"))
+    numbered = running(ordered, ["size", "least"], {"community": "one"})
+    return label.join(numbered.select("label", "community"), "label").select("node", "community")
 
 
 def modularity(edges: DataFrame, groups: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import calibrate, coherence, text
+from ..operators import calibrate, classifiers, coherence, splits, text
 from ..registry import query
 from ..sources.tables import table
 
@@ -99,3 +99,13 @@ def topic_overlap(spark: SparkSession, folder: str) -> DataFrame:
     """Diversity of the topics' words and the mean overlap of two topics."""
     words = _topic_words(spark, folder)[1]
     return coherence.diversity(words).crossJoin(coherence.redundancy(words)).select(F.round("diversity", 9).alias("diversity"), F.round("redundancy", 9).alias("redundancy"))  # one row each
+
+
+@query("classifier_comparison")
+def classifier_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    """Four models that tell language and quality of labelled documents, learned and compared on one split without leaks."""
+    docs = table(spark, folder, "documents").join(table(spark, folder, "labels").where("quality IS NOT NULL"), "doc_id")
+    rows = docs.select("doc_id", "text", "lang", F.concat_ws("/", "lang", F.col("quality").cast("string")).alias("label"), F.array(F.md5("text")).alias("tokens"))
+    parts = splits.stratified_split(rows, "doc_id", "label", "tokens", (0.7, 0.1, 0.2), least=5)
+    found = classifiers.predictions(parts.where("split = 'train'"), parts.where("split = 'test'"), "doc_id", "text", "label", "lang", rounds=8)
+    return classifiers.comparison(found, "label")

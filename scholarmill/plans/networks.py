@@ -156,9 +156,8 @@ def graph_density(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("graph_centrality")
 def graph_centrality(spark: SparkSession, folder: str) -> DataFrame:
-    """Betweenness and closeness of the institution network, whose size the registry of institutions bounds."""
-    edges = pair_edges(publications(spark, folder, "institutions", "publication_year"), "institutions", 1).select("source", "target", "weight")
-    return graph.path_centrality(edges)
+    """Betweenness and closeness of the author network."""
+    return graph.path_centrality(_graph(spark, folder))
 
 
 @query("graph_communities")

@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from .plans import analytics, cleaning, dedup, fitting, fulltext, learning, networks, payloads, quality, records, resolution, search, standards, streams, venues  # noqa: E402, F401
+from .plans import analytics, cleaning, dedup, fitting, fulltext, learning, monitoring, networks, payloads, quality, records, resolution, runs, search, standards, streams, venues  # noqa: E402, F401
