@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -119,14 +118,14 @@ SELECT week, round(sum((share - before) * ln(share / before)), 9) AS psi, sum((s
 def drift_psi(spark: SparkSession, folder: str) -> DataFrame:
     """Population stability of event types from week to week; shares count as 0.0001 at least."""
     counts = table(spark, folder, "events").groupBy(F.date_trunc("week", "ts").alias("week"), "event_type").agg(F.count("*").alias("n"))
-    kinds = sorted(r.event_type for r in counts.select("event_type").distinct().collect())  # the vocabulary of types
-    by_week = counts.groupBy("week").pivot("event_type", kinds).agg(F.sum("n")).na.fill(0)
-    total = reduce(lambda a, b: a + b, (F.col(f"`{k}`") for k in kinds))
-    order = Window.partitionBy(F.lit(1)).orderBy("week")  # one row for each week
-    shares = by_week.select("week", *(F.greatest(F.col(f"`{k}`") / total, F.lit(0.0001)).alias(f"s{i}") for i, k in enumerate(kinds)))
-    before = shares.select("*", *(F.lag(f"s{i}").over(order).alias(f"b{i}") for i in range(len(kinds)))).where("b0 IS NOT NULL")
-    psi = reduce(lambda a, b: a + b, ((F.col(f"s{i}") - F.col(f"b{i}")) * F.log(F.col(f"s{i}") / F.col(f"b{i}")) for i in range(len(kinds))))
-    return before.select("week", F.round(psi, 9).alias("psi"), (psi >= 0.15).alias("alert"))
+    weeks = counts.groupBy("week").agg(F.sum("n").alias("total")).withColumn("before", F.lag("week").over(Window.orderBy("week")))  # one row a week
+    shares = counts.join(weeks, "week").select("week", "before", "event_type", F.greatest(F.col("n") / F.col("total"), F.lit(0.0001)).alias("share"))
+    # types of neither week add nothing
+    now = shares.where("before IS NOT NULL").select("week", "event_type", "share")
+    was = shares.select(F.col("week").alias("before"), "event_type", F.col("share").alias("old")).join(weeks.select("week", "before"), "before").drop("before")
+    both = now.join(was, ["week", "event_type"], "full").fillna(0.0001, ["share", "old"])
+    psi = F.sum((F.col("share") - F.col("old")) * F.log(F.col("share") / F.col("old")))
+    return both.groupBy("week").agg(psi.alias("psi")).select("week", F.round("psi", 9).alias("psi"), (F.col("psi") >= 0.15).alias("alert"))
 
 
 @query("ops_dashboard", """WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events WHERE ts >= TIMESTAMP '2024-01-08' GROUP BY ALL)
