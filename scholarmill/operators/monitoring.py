@@ -18,9 +18,14 @@ LEAST_SHARE = 0.0001
 SOURCES = (("OpenAlex", "openalex"), ("Crossref", "crossref"), ("SLJOL", "sljol"), ("Repositories", "repositor"))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` as a double to so many decimals, as databases round: the shifted double to the nearest whole, halves away from zero."""
+    return F.round(x.cast("double") * 10.0**digits, 0) / 10.0**digits
+
+
 def percent(part: Column, whole: Column) -> Column:
     """Percent with two decimals, 0 over nothing."""
-    return F.coalesce(F.round(part / F.nullif(whole, F.lit(0)) * 100, 2), F.lit(0.0))
+    return F.coalesce(rounded(part / F.nullif(whole, F.lit(0)) * 100, 2), F.lit(0.0))
 
 
 def month_figures(records: DataFrame) -> DataFrame:
@@ -51,11 +56,11 @@ def drift(records: DataFrame, top: int = 10) -> DataFrame:
     known = F.col("b").isNotNull()
     now, was = (lambda c: F.col(f"c.{c}")), (lambda c: F.col(f"b.{c}"))
     rate = lambda c: (F.when(known, percent(was(c), was("total"))), percent(now(c), now("total")))
-    figure = lambda c, digits: (F.when(known, F.round(F.coalesce(was(c), F.lit(0.0)), digits)), F.round(F.coalesce(now(c), F.lit(0.0)), digits))
+    figure = lambda c, digits: (F.when(known, rounded(F.coalesce(was(c), F.lit(0.0)), digits)), rounded(F.coalesce(now(c), F.lit(0.0)), digits))
     rows: dict[str, list[Column]] = {}
 
     def row(dimension: str, measure: str, values: tuple[Column, Column], alert, digits: int = 2, delta: Column | None = None) -> None:
-        change = F.round(values[1] - values[0], digits) if delta is None else delta
+        change = rounded(values[1] - values[0], digits) if delta is None else delta
         flag = F.coalesce(alert(change), F.lit(False)) if alert else F.lit(False)
         rows.setdefault(dimension, []).append(F.struct(F.lit(dimension).alias("dimension"), F.lit(measure).alias("measure"), values[0].cast("double").alias("previous"), values[1].cast("double").alias("current"), change.cast("double").alias("delta"), flag.alias("alert")))
 
@@ -65,7 +70,7 @@ def drift(records: DataFrame, top: int = 10) -> DataFrame:
     row("prediction", "ai_rate", rate("ai"), beyond(RATE_POINTS))
     row("prediction", "non_ai_rate", rate("non_ai"), None)
     row("prediction", "review_rate", rate("review"), None)
-    row("prediction", "psi", (F.lit(None), F.round(F.when(known, index), 4)), lambda d: d >= PSI, delta=F.round(F.when(known, index), 4))
+    row("prediction", "psi", (F.lit(None), rounded(F.when(known, index), 4)), lambda d: d >= PSI, delta=rounded(F.when(known, index), 4))
     row("confidence", "mean_p", figure("mean_p", 4), beyond(MEAN_DELTA), 4)
     row("confidence", "median_p", figure("median_p", 4), None, 4)
     row("confidence", "std_p", figure("std_p", 4), None, 4)
@@ -73,7 +78,7 @@ def drift(records: DataFrame, top: int = 10) -> DataFrame:
     row("confidence", "medium", rate("mid"), None)
     row("confidence", "high", rate("high"), beyond(HIGH_POINTS))
     for c in ("title_words", "abstract_words"):
-        shift = F.coalesce(F.round((F.coalesce(now(c), F.lit(0.0)) - was(c)) / F.nullif(was(c), F.lit(0.0)) * 100, 1), F.when(known, F.lit(0.0)))
+        shift = F.coalesce(rounded((F.coalesce(now(c), F.lit(0.0)) - was(c)) / F.nullif(was(c), F.lit(0.0)) * 100, 1), F.when(known, F.lit(0.0)))
         row("feature", c, figure(c, 1), beyond(LENGTH_PERCENT), delta=shift)
     row("feature", "abstract_presence", rate("with_abstract"), lambda d: d <= -ABSTRACT_POINTS)
     disagreement = F.when(known, percent(was("fp") + was("fn"), was("decisions"))), percent(now("fp") + now("fn"), now("decisions"))
@@ -97,10 +102,10 @@ def drift(records: DataFrame, top: int = 10) -> DataFrame:
     old = named.select(F.col("month").alias("before"), "measure", F.col("n").alias("m"))
     shown = best.join(spread, "month").join(old, ["before", "measure"], "left")
     a, b = F.when(F.col("before").isNotNull(), percent(F.coalesce("m", F.lit(0)), F.col("total_before"))), percent(F.col("n"), F.col("total"))
-    change = F.round(b - a, 2)
+    change = rounded(b - a, 2)
     institutions = shown.select("month", F.lit("institution").alias("dimension"), "measure", a.alias("previous"), b.alias("current"), change.alias("delta"), F.coalesce(F.abs(change) >= INSTITUTION_POINTS, F.lit(False)).alias("alert"))
     three = best.where("k <= 3").groupBy("month").agg(F.sum("n").alias("t"))
     held = spread.join(three, "month", "left").join(three.select(F.col("month").alias("before"), F.col("t").alias("u")), "before", "left")
     a, b = F.when(F.col("before").isNotNull(), percent(F.coalesce("u", F.lit(0)), F.col("total_before"))), percent(F.coalesce("t", F.lit(0)), F.col("total"))
-    top3 = held.select("month", F.lit("institution").alias("dimension"), F.lit("top3_concentration").alias("measure"), a.alias("previous"), b.alias("current"), F.round(b - a, 2).alias("delta"), ((b >= CONCENTRATION) & (F.col("total") >= CONCENTRATION_ROWS)).alias("alert"))
+    top3 = held.select("month", F.lit("institution").alias("dimension"), F.lit("top3_concentration").alias("measure"), a.alias("previous"), b.alias("current"), rounded(b - a, 2).alias("delta"), ((b >= CONCENTRATION) & (F.col("total") >= CONCENTRATION_ROWS)).alias("alert"))
     return plain.unionAll(institutions).unionAll(top3)
