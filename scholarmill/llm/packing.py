@@ -9,7 +9,10 @@ equal lengths from per-partition counts, so that every piece finds its place by
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -24,6 +27,9 @@ from .common import materialise, slices, small_batches, utf8
 ENCODED_BYTES = 2 << 20
 #: Words remembered in one of two generations, at some 200 bytes each.
 ENCODED_WORDS = 600_000
+# A definition of this form lower-cases texts and parts a letter from a stop or comma behind it
+_FOLDS = (["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_FAR = re.compile("[^\x00-\u024f]|<\\|")
 
 
 class Sums:
@@ -126,10 +132,19 @@ def placements(patterns: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
+def _folds(definition: str) -> bool:
+    d = json.loads(definition)
+    steps = [x["type"] for x in (d.get("normalizer") or {}).get("normalizers", [])]
+    patterns = [x.get("pattern", {}).get("Regex") for x in (d.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    return (steps, next(iter(patterns), None)) == _FOLDS
+
+
 class Encoder:
     """Words -> their ids as bytes, by the tokenizer library. What is new in a slice of texts is encoded together.
 
-    Words are remembered in two generations of bounded size, for as long as the Python worker lives.
+    Words are remembered in two generations of bounded size, for as long as the Python worker lives. Where the definition
+    lower-cases, so are texts of Latin letters that stay composed, before they are cut; words with stops or commas at their
+    end then are the word and these.
     """
 
     def __init__(self, definition: str) -> None:
@@ -140,6 +155,7 @@ class Encoder:
         self.library.no_padding()
         special = [(t.content, i) for i, t in sorted(self.library.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word)]
         self.border = special[0] if special else None
+        self.folds = _folds(definition)
         self.now: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -160,14 +176,27 @@ class Encoder:
         for w in alone:
             self.now[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def lowered(self, text: str) -> str:
+        """The text, lower-cased where that cannot change its tokens."""
+        if not self.folds or _FAR.search(text):
+            return text
+        low = text.lower()
+        return low if low.isascii() or unicodedata.is_normalized("NFC", low) else text
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        words = [split_words(x) for x in texts]
+        words = [split_words(self.lowered(x)) for x in texts]
         if len(self.now) > ENCODED_WORDS:
             self.now, self.before = {}, self.now
         missing = set().union(*words).difference(self.now)
         again = missing.intersection(self.before)
         self.now.update(zip(again, map(self.before.__getitem__, again), strict=True))
-        self.learn(list(missing.difference(again)))
+        missing -= again
+        cut = {w: (stem, w[len(stem) :]) for w in missing if self.folds and w[-1] in ".," and (stem := w.rstrip(".,")) and stem[-1].lower()[-1].isalpha()}
+        parts = {p for both in cut.values() for p in both}.difference(self.now)
+        again = parts.intersection(self.before)
+        self.now.update(zip(again, map(self.before.__getitem__, again), strict=True))
+        self.learn(list((missing.difference(cut) | parts) - again))
+        self.now.update((w, self.now[stem] + self.now[end]) for w, (stem, end) in cut.items())
         return [b"".join(map(self.now.__getitem__, x)) for x in words]
 
 

@@ -327,6 +327,18 @@ def test_packing_encodes_words_together():
             assert np.frombuffer(ids, "<u4").tolist() == library.encode(v, add_special_tokens=False).ids
 
 
+def test_packing_encodes_a_word_once_whatever_its_case_and_stops(monkeypatch):
+    library = Tokenizer.from_file(DEFINITION)
+    encode, learned = packing.Encoder(open(DEFINITION, encoding="utf-8").read()), []
+    real = encode.learn
+    monkeypatch.setattr(encode, "learn", lambda words: (learned.extend(words), real(words)))
+    values = ["Mill mill, MILL. mill.,", "É é, É. x\u0301, İ. İ, É..", "ΣΑΣ. Σας, <|endoftext|>. A<|endoftext|>a. <|ENDOFTEXT|>", "1. 1, it's. IT'S,", "e\u0301. E\u0301, ., .a ,A."]
+    for v in values:
+        assert np.frombuffer(encode([v])[0], "<u4").tolist() == library.encode(v, add_special_tokens=False).ids
+        if v is values[0]:
+            assert sorted(learned) == [",", ".", ".,", "mill"]
+
+
 def test_packing_plan_uses_exact_sums():
     assert packing.Sums(np.array([0, 1, 1, 1])).fill(3) == (3,)
     assert packing.Sums(np.array([0, 0, 0, 0, 2, 0, 0, 0, 0])).fill(8) == (4, 4)
