@@ -17,6 +17,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +25,15 @@ from .bpe import split_words, worker_store
 from .common import materialise, slices, small_batches, utf8
 
 #: Text bytes whose words are encoded together.
-ENCODED_BYTES = 2 << 20
+ENCODED_BYTES = 8 << 20
 #: Words remembered in one of two generations, at some 200 bytes each.
 ENCODED_WORDS = 600_000
-# A definition of this form lower-cases texts and parts a letter from a stop or comma behind it
+# A definition of this form lower-cases texts and parts a letter from a mark behind it
 _FOLDS = (["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _FAR = re.compile("[^\x00-\u024f]|<\\|")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+# White space beyond ASCII, at which words part too
+_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class Sums:
@@ -132,35 +136,61 @@ def placements(patterns: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
-def _folds(definition: str) -> bool:
-    d = json.loads(definition)
-    steps = [x["type"] for x in (d.get("normalizer") or {}).get("normalizers", [])]
-    patterns = [x.get("pattern", {}).get("Regex") for x in (d.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+def _folds(definition: dict) -> bool:
+    steps = [x["type"] for x in (definition.get("normalizer") or {}).get("normalizers", [])]
+    patterns = [x.get("pattern", {}).get("Regex") for x in (definition.get("pre_tokenizer") or {}).get("pretokenizers", [])]
     return (steps, next(iter(patterns), None)) == _FOLDS
 
 
+def _closing(definition: dict) -> np.ndarray | None:
+    """Which tokens close a word; null where the form of the definition doesn't let every word of letters end in one."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    model, bytes_ = definition["model"], {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    end, vocab = model.get("end_of_word_suffix"), model["vocab"]
+    after = (definition["pre_tokenizer"].get("pretokenizers") or [])[1:] if _folds(definition) else []
+    plain = len(after) == 1 and bytes_.items() <= after[0].items() and not (model.get("dropout") or model.get("continuing_subword_prefix") or model.get("ignore_merges"))
+    if not plain or model["type"] != "BPE" or not end or any(c not in vocab or c + end not in vocab for c in ByteLevel.alphabet()):
+        return None
+    out = np.zeros(max(vocab.values()) + 1, bool)
+    out[[i for token, i in vocab.items() if token.endswith(end)]] = True
+    return out
+
+
 class Encoder:
-    """Words -> their ids as bytes, by the tokenizer library. What is new in a slice of texts is encoded together.
+    """Texts -> their ids as bytes, by the tokenizer library. What is new in a slice of texts is encoded together.
 
-    Words are remembered in two generations of bounded size, for as long as the Python worker lives. Where the definition
-    lower-cases, so are texts of Latin letters that stay composed, before they are cut; words with stops or commas at their
-    end then are the word and these.
+    Words are remembered in two generations of bounded size, for as long as the Python worker lives; a slice asks once for
+    each of its words. Where the definition lower-cases, so are texts of Latin letters that stay composed, before they are
+    cut; words with marks at their end then are the word and these, and words of letters alone go to the library's model
+    past its normaliser and pattern, which would not change them.
     """
 
     def __init__(self, definition: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.library = Tokenizer.from_str(definition)
         self.library.no_truncation()
         self.library.no_padding()
         special = [(t.content, i) for i, t in sorted(self.library.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word)]
         self.border = special[0] if special else None
-        self.folds = _folds(definition)
+        form = json.loads(definition)
+        self.folds, self.closing = _folds(form), _closing(form)
+        self.plain = Tokenizer.from_str(definition)
+        self.plain.no_truncation()
+        self.plain.no_padding()
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.now: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
         """Encodes words, some hundred at once with a special token between them; words that hold one go alone."""
+        if self.closing is not None:
+            letters = [w for w in words if w.isalpha() and w.islower() and max(w) < "\u0250"]
+            self.learn_letters(letters)
+            words = list(set(words).difference(letters))
         if self.border is None:
             alone, together = words, []
         else:
@@ -176,28 +206,53 @@ class Encoder:
         for w in alone:
             self.now[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def learn_letters(self, words: list[str]) -> None:
+        """Encodes words of small Latin letters, some hundred at once; a token that closes a word is its last."""
+        parts = [words[k : k + 500] for k in range(0, len(words), 500)]
+        for part, found in zip(parts, self.plain.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            at, data, x = (4 * np.flatnonzero(self.closing[ids]) + 4).tolist(), ids.tobytes(), 0
+            for w, y in zip(part, at, strict=True):
+                self.now[w], x = data[x:y], y
+
     def lowered(self, text: str) -> str:
         """The text, lower-cased where that cannot change its tokens."""
-        if not self.folds or _FAR.search(text):
+        if not self.folds or ("<|" in text if text.isascii() else _FAR.search(text)):
             return text
         low = text.lower()
         return low if low.isascii() or unicodedata.is_normalized("NFC", low) else text
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        words = [split_words(self.lowered(x)) for x in texts]
+    def known(self, words: list[str]) -> list[bytes]:
+        """The ids of different words."""
         if len(self.now) > ENCODED_WORDS:
             self.now, self.before = {}, self.now
-        missing = set().union(*words).difference(self.now)
+        found = list(map(self.now.get, words))
+        missing = {w for w, ids in zip(words, found, strict=True) if ids is None}
+        if not missing:
+            return found
         again = missing.intersection(self.before)
         self.now.update(zip(again, map(self.before.__getitem__, again), strict=True))
         missing -= again
-        cut = {w: (stem, w[len(stem) :]) for w in missing if self.folds and w[-1] in ".," and (stem := w.rstrip(".,")) and stem[-1].lower()[-1].isalpha()}
+        cut = {w: (stem, w[len(stem) :]) for w in missing if self.folds and w[-1:] in _MARKS and (stem := w.rstrip(_MARKS)) and stem[-1].lower()[-1].isalpha() and "<|" not in w}
         parts = {p for both in cut.values() for p in both}.difference(self.now)
         again = parts.intersection(self.before)
         self.now.update(zip(again, map(self.before.__getitem__, again), strict=True))
         self.learn(list((missing.difference(cut) | parts) - again))
         self.now.update((w, self.now[stem] + self.now[end]) for w, (stem, end) in cut.items())
-        return [b"".join(map(self.now.__getitem__, x)) for x in words]
+        return [self.now[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        low = [x if x.isascii() or not _WIDE.search(x) else " ".join(split_words(x)) for x in map(self.lowered, texts)]
+        words = pc.ascii_split_whitespace(pa.array(low, pa.large_string()))
+        coded = words.values.dictionary_encode()
+        found = self.known(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.array([len(x) for x in found], np.int64) // 4
+        table, code = np.frombuffer(b"".join(found), "<u4"), coded.indices.to_numpy()
+        count = size[code]
+        end = np.append(0, np.cumsum(count))
+        ids = table[np.repeat((np.cumsum(size) - size)[code] - end[:-1], count) + np.arange(end[-1])].tobytes()
+        at = (4 * end[words.offsets.to_numpy()]).tolist()
+        return [ids[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
 
 
 def _pieces(definition, size: int, end_id: int):

@@ -339,6 +339,23 @@ def test_packing_encodes_a_word_once_whatever_its_case_and_stops(monkeypatch):
             assert sorted(learned) == [",", ".", ".,", "mill"]
 
 
+def test_packing_encodes_letters_once_whatever_marks_follow(monkeypatch):
+    library = Tokenizer.from_file(DEFINITION)
+    encode, letters, learned = packing.Encoder(open(DEFINITION, encoding="utf-8").read()), [], []
+    real, real_letters = encode.learn, encode.learn_letters
+    monkeypatch.setattr(encode, "learn", lambda words: (learned.extend(words), real(words)))
+    monkeypatch.setattr(encode, "learn_letters", lambda words: (letters.extend(words), real_letters(words)))
+    values = ["mill%%% Mill### mill!? (mill) mill", "stra\u00dfe, \u00e9t\u00e9... STRASSE;;", "a\x85b\u2003C.\u3000d \u2028 \x1cx \x0b y\x1f", "", " ", "<|endoftext|>! <|endoftext|>,a \u0130! e\u0301!!"]
+    for v, ids in zip(values, encode(values), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(v, add_special_tokens=False).ids
+    assert {"mill", "stra\u00dfe", "\u00e9t\u00e9", "strasse"} <= set(letters) and learned.count("mill") == 1
+    assert not {w for w in learned if w[:4] in ("mill", "stra", "\u00e9t\u00e9") and not w.isalpha()}
+    signs = [chr(c) for c in range(0x260) if not 0xD800 <= c < 0xE000]
+    values = [f"{c} {c}{c} a{c} {c}a {c}.. {c}' '{c}s {c}\u0301 A{c}!" for c in signs]
+    for v, ids in zip(values, encode(values), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(v, add_special_tokens=False).ids, v
+
+
 def test_packing_plan_uses_exact_sums():
     assert packing.Sums(np.array([0, 1, 1, 1])).fill(3) == (3,)
     assert packing.Sums(np.array([0, 0, 0, 0, 2, 0, 0, 0, 0])).fill(8) == (4, 4)
