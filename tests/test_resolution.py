@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from scholarmill.functions.names import compatible, parse_name
+from scholarmill.functions.names import compatible, fold, parse_name
 from scholarmill.operators import duplicates, graph, missed, people, splits
 
 
@@ -110,6 +110,28 @@ def test_fuzzy_duplicates(spark, seed, least):
         assert r.precision == pytest.approx(p, abs=1e-6)
 
 
+def test_different_dois_are_counted_and_not_expanded(spark):
+    rng = random.Random(9)
+    rows = [(k, f"one title of {rng.choice(['ten', 'ten', 'ten', 'two'])} studies in all", "Perera K", rng.choice(["2019", "2020"]), rng.choice([f"10.1/{rng.randrange(90)}"] * 9 + [None]), "J") for k in range(200)]
+    docs = spark.createDataFrame(rows, "id long, title string, authors string, year string, doi string, journal string").repartition(3)
+    got = duplicates.fuzzy_matches(duplicates.features(docs, "id", "title", "authors", "year", "doi", ["title"]), 90.0).collect()
+    want, _ = plain_matches(rows, 90.0)
+    form = {}  # pairs are counted between forms: records that agree in all
+    for k, *facts in rows:
+        form.setdefault(tuple(facts), k)
+    first = {k: form[tuple(facts)] for k, *facts in rows}
+    apart = {p for p, (status, _) in want.items() if status == "different_doi" and first[p[0]] == p[0] and first[p[1]] == p[1]}
+    given = [r for r in got if r.doi_status == "different_doi"]
+    assert {(r.a, r.b) for r in given} <= set(want) and len({(r.a, r.b) for r in given}) == len(given)
+    assert sum(r.pairs for r in given) == len(apart) > 5000
+    assert len(given) < 250
+    assert all(r.pairs == 1 for r in got if r.doi_status != "different_doi")
+
+
+def test_folded_letters():
+    assert fold("\u00c1\u00e9 Stra\u00dfe \u0130x e\u0301 ABC") == "ae strasse ix e abc"
+
+
 def test_spanning_forest(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(40), rng.randrange(60), rng.choice([1.0, 2.0, 2.5, None])) for _ in range(150)]
