@@ -53,3 +53,22 @@ def test_path_centrality_is_that_of_single_searches(spark, rows):
     for v, (b, c) in want.items():
         assert got[v] == (pytest.approx(b, abs=1e-9), pytest.approx(c, abs=1e-9))
     assert graph.path_centrality(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tile, block, rows", [(4, 3, 200_000_000), (5, 2, 150)])
+def test_path_centrality_by_tiles_and_blocks(spark, tile, block, rows):
+    rng = random.Random(8)
+    edges = [(f"n{rng.randrange(14):02}", f"n{rng.randrange(14):02}", rng.choice([1.0, 2.0, 4.0])) for _ in range(30)] + [("x", "y", 1.0)]
+    got = {r.node: (r.betweenness, r.closeness) for r in graph.path_centrality(spark.createDataFrame(edges, "source string, target string, weight double"), most_rows=rows, tile=tile, block=block).collect()}
+    assert got == {v: (pytest.approx(b, abs=1e-9), pytest.approx(c, abs=1e-9)) for v, (b, c) in plain(edges).items()}
+
+
+def test_path_centrality_of_a_dense_graph(spark, monkeypatch):
+    """Every round hands on blocks of sources, not a row for each source and link."""
+    most = []
+    monkeypatch.setattr(graph, "written", lambda df, name, keep=graph.written: (out := keep(df, name), most.append(out.count()))[0])
+    rng = random.Random(3)
+    edges = [(f"n{a:03}", f"n{b:03}", float(rng.randint(1, 9))) for a in range(70) for b in range(a)]
+    got = {r.node: (r.betweenness, r.closeness) for r in graph.path_centrality(spark.createDataFrame(edges, "source string, target string, weight double")).collect()}
+    assert got == {v: (pytest.approx(b, abs=1e-9), pytest.approx(c, abs=1e-9)) for v, (b, c) in plain(edges).items()}
+    assert max(most) <= 2 * len(edges)
