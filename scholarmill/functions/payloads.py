@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import doi_plain, nonblank
+from .columns import bound, doi_plain, nonblank
 
-#: A whole string (to the end of the text where it is not closed), a bracket, a semicolon, or anything between these.
-_PIECE = r"(?s)\"(?:[^\"\\]++|\\.)*+\"?|[\[{\]};]|[^\"\[{\]};]++"
+#: Whole strings (to the end of the text where one is not closed) and anything but brackets and semicolons.
+_PLAIN = r"(?:\"(?:[^\"\\]++|\\.)*+\"?|[^\"\[{\]};]++)"
+#: A bracket with its contents, where these are closed and hold no more than one bracket within another; a lone bracket; a
+#: semicolon; or what is between these.
+_PIECE = rf"(?s)[\[{{](?:{_PLAIN}|;|[\[{{](?:{_PLAIN}|;)*+[\]}}])*+[\]}}]|[\[{{\]}};]|{_PLAIN}++"
 
 #: The nested parts of a work that ``flat_works`` reads; other members are ignored.
 WORK = """
@@ -23,13 +26,33 @@ biblio struct<volume:string,issue:string,first_page:string,last_page:string>, re
 """.replace("\n", " ")
 
 
+def inverted_index(words: Column) -> Column:
+    """The index of a text's words: (word, places from 0) for each word, in the words' order."""
+
+    def grouped(found: Column) -> Column:
+        begins = F.array_compact(F.transform(found, lambda x, k: F.when((k == 0) | (x["word"] != F.get(found, k - 1)["word"]), k)))
+        entry = lambda at, to: F.struct(F.get(found, at)["word"].alias("word"), F.transform(F.slice(found, at + 1, to - at), lambda x: x["place"]).alias("places"))
+        return bound(begins, lambda b: F.transform(b, lambda at, k: entry(at, F.coalesce(F.get(b, k + 1), F.size(found)))))
+
+    return bound(F.array_sort(F.transform(words, lambda w, k: F.struct(w.alias("word"), k.alias("place")))), grouped)
+
+
+def text_of_index(index: Column) -> Column:
+    """The words of an index (word, places) at their places, with spaces between; null for null."""
+    placed = F.flatten(F.transform(index, lambda e: F.transform(e["places"], lambda p: F.struct(p.alias("place"), e["word"].alias("word")))))
+    return F.array_join(F.transform(F.array_sort(placed), lambda x: x["word"]), " ")
+
+
 def split_payload(text: Column) -> Column:
     """The items of a list of JSON texts: cut at semicolons outside of strings and brackets, trimmed, without empty ones.
 
     A backslash in a string takes the next character with it; a bracket that closes nothing is passed over. Null and
     blank texts have no items.
     """
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_PIECE), F.lit(0))
+    return bound(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_PIECE), F.lit(0)), _items)
+
+
+def _items(pieces: Column) -> Column:
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.array(F.lit(0)).alias("cuts"))
 
     def step(state: Column, piece: Column) -> Column:
@@ -39,8 +62,8 @@ def split_payload(text: Column) -> Column:
         return F.struct(depth.alias("depth"), at.alias("at"), F.when(cut, F.array_append(state["cuts"], at)).otherwise(state["cuts"]).alias("cuts"))
 
     cuts = F.aggregate(pieces, start, step, lambda s: F.array_append(s["cuts"], s["at"] + 1))
-    spans = F.zip_with(F.slice(cuts, 1, F.size(cuts) - 1), F.slice(cuts, 2, F.size(cuts) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    items = F.transform(spans, lambda s: F.regexp_replace(F.array_join(F.slice(pieces, s["a"] + 1, s["b"] - s["a"] - 1), ""), r"^\s+|\s+$", ""))
+    part = lambda a, b: F.regexp_replace(F.array_join(F.slice(pieces, a + 1, b - a - 1), ""), r"^\s+|\s+$", "")
+    items = bound(cuts, lambda c: F.transform(F.slice(c, 1, F.size(c) - 1), lambda a, k: part(a, F.get(c, k + 1))))
     return F.filter(items, lambda x: x != "")
 
 

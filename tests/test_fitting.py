@@ -1,6 +1,7 @@
 import json
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from scholarmill.functions import payloads
 from scholarmill.operators import calibrate, coherence
 from scholarmill.operators.ordered import running
+from scholarmill.registry import QUERIES
 
 
 def plain_isotonic(scores, labels):
@@ -126,6 +128,56 @@ def plain_split(text):
     return [x.strip() for x in [*out, (text or "")[start:]] if x.strip()]
 
 
+def plain_items(text):
+    items, at, depth, quoted, k = [], 0, 0, False, 0
+    while k < len(text):
+        c = text[k]
+        if quoted and c == "\\":
+            k += 1
+        elif c == '"':
+            quoted = not quoted
+        elif not quoted and c in "[{":
+            depth += 1
+        elif not quoted and c in "]}":
+            depth = max(0, depth - 1)
+        elif not quoted and c == ";" and not depth:
+            items.append(text[at:k])
+            at = k + 1
+        k += 1
+    return [x.strip() for x in [*items, text[at:]] if x.strip()]
+
+
+def test_any_payload_is_split_as_letter_by_letter(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice('[]{};;"\\a b') for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {r.id: r.items for r in rows.select("id", payloads.split_payload(F.col("t")).alias("items")).collect()}
+    assert [got[k] for k in range(len(texts))] == [plain_items(t) for t in texts]
+
+
+def test_a_long_payload_takes_time_in_proportion(spark):
+    """4,000 references in one text: each item is cut from pieces that are found once."""
+    item = '{"DOI": "10.1/A", "author": {"name": ["x; y"]}, "title": "t ; u"}'
+    rows = spark.createDataFrame([(1, " ; ".join([item] * 4000))], "id long, t string").repartition(1)
+    began = time.time()
+    got = payloads.reference_rows(rows, "id", "t").collect()
+    assert time.time() - began < 25
+    assert {(r.reference_doi, r.reference_title, r.reference_author, r.raw_reference_json) for r in got} == {("10.1/a", "t ; u", '{"name":["x; y"]}', item)}
+    assert sorted(r.reference_index for r in got) == list(range(1, 4001))
+
+
+def test_texts_from_their_index_need_no_shuffle(spark, tmp_path):
+    texts = ["a b a c b a", "", "  ", None, "one", "x  y\n z", " ".join(f"w{k % 700}" for k in range(9000))]
+    rows = [(k // 2, t) for k, t in enumerate(texts)]  # ids come twice
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES["inverted_index_text"](spark, str(tmp_path))
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    want = [(k, t if t is None else " ".join(w for w in t.split(" ") if w)) for k, t in rows]
+    assert sorted(df.collect(), key=repr) == sorted(want, key=repr)
+    index = spark.createDataFrame([("b a b",)], "t string").select(payloads.inverted_index(F.split("t", " "))).first()[0]
+    assert [tuple(x) for x in index] == [("a", [1]), ("b", [0, 2])]
+
+
 def test_payloads_are_split_outside_of_strings_and_brackets(spark):
     rng = random.Random(8)
     texts = ["".join(rng.choice('ab;;"\\{}[] \n') for _ in range(rng.randint(0, 30))) for _ in range(500)] + [None, "", " ; ", '{"a":"b;c\\";"};x', '"open ; string', "]];a;[;]", '{"t":"' + "y;" * 20000 + '"};z']
