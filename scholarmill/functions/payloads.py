@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,21 +28,23 @@ biblio struct<volume:string,issue:string,first_page:string,last_page:string>, re
 """.replace("\n", " ")
 
 
-def inverted_index(words: Column) -> Column:
-    """The index of a text's words: (word, places from 0) for each word, in the words' order."""
+def inverted_index(words: Column, unlisted: Sequence[str] = ()) -> Column:
+    """The index of a text's words: (word, places from 0) for each word, in the words' order; some may have places only."""
 
     def grouped(found: Column) -> Column:
         begins = F.array_compact(F.transform(found, lambda x, k: F.when((k == 0) | (x["word"] != F.get(found, k - 1)["word"]), k)))
         entry = lambda at, to: F.struct(F.get(found, at)["word"].alias("word"), F.transform(F.slice(found, at + 1, to - at), lambda x: x["place"]).alias("places"))
         return bound(begins, lambda b: F.transform(b, lambda at, k: entry(at, F.coalesce(F.get(b, k + 1), F.size(found)))))
 
-    return bound(F.array_sort(F.transform(words, lambda w, k: F.struct(w.alias("word"), k.alias("place")))), grouped)
+    placed = F.transform(words, lambda w, k: F.struct(w.alias("word"), k.alias("place")))
+    listed = F.filter(placed, lambda x: ~x["word"].isin(*unlisted)) if unlisted else placed
+    return bound(F.sort_array(listed), grouped)
 
 
 def text_of_index(index: Column) -> Column:
     """The words of an index (word, places) at their places, with spaces between; null for null."""
     placed = F.flatten(F.transform(index, lambda e: F.transform(e["places"], lambda p: F.struct(p.alias("place"), e["word"].alias("word")))))
-    return F.array_join(F.transform(F.array_sort(placed), lambda x: x["word"]), " ")
+    return F.array_join(F.transform(F.sort_array(placed), lambda x: x["word"]), " ")
 
 
 def split_payload(text: Column) -> Column:

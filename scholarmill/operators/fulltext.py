@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.payloads import inverted_index
 from ..functions.stems import STOP_WORDS, with_stems
 from ..sources.work import shared_folder, written
 
@@ -30,18 +31,22 @@ def build_index(docs: DataFrame, id_col: str, *columns: str, path: str | None =
     """The stored index (term, id, places) of the words of some columns, taken one after another, null as empty.
 
     Words are lower-cased runs of letters and digits; terms are their English stems. Stop words have no terms, but count
-    as places. Equal ids are one document, whose places are those of all its rows. Words get their stems as distinct
-    words, once each. ``path`` names the folder of the index; it is a new one in the shared folder by default.
+    as places. Equal ids are one document, whose places are those of all its rows. A row's places are put together in the
+    row, and words get their stems as distinct words, once each, so that entries are shuffled for the ranges and, but for
+    numbers and where stems are few, for the join with the stems. ``path`` names the folder of the index; it is a new one in the shared folder by default.
     """
     spark = docs.sparkSession
     path = path or f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
     words = F.filter(F.split(F.lower(F.concat_ws(" ", *columns)), _WORDS), lambda w: w != "")
-    places = docs.select(F.col(id_col).alias("id"), F.posexplode(words).alias("place", "word")).where(~F.col("word").isin(*STOP_WORDS))
-    by_word = written(places.groupBy("word", "id").agg(F.collect_list("place").alias("places")), "postings")
-    stems = with_stems(by_word.select("word").distinct()).select("word", F.col("stem").alias("term"))
-    terms = by_word.join(stems, "word").groupBy("term", "id").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
-    ordered = terms.withColumn("head", _head(F.col("term"))).repartitionByRange("head", "term", "id").sortWithinPartitions("head", "term", "id")
-    ordered.write.partitionBy("head").parquet(path)
+    entries = docs.select(F.col(id_col).alias("id"), F.explode(inverted_index(words, STOP_WORDS)).alias("e")).select("e.word", "id", "e.places")
+    by_word = written(entries, "postings")
+    number = F.col("word").rlike("^[0-9]+$")  # its own stem
+    stems = written(with_stems(by_word.where(~number).select("word").distinct()).select("word", F.col("stem").alias("term")), "stems")
+    named = by_word.where(~number).join(stems, "word").select("term", "id", "places").unionAll(by_word.where(number).select("word", "id", "places"))
+    terms = named.select(_head(F.col("term")).alias("head"), "term", "id", "places")
+    # a range has all rows of its terms and ids, so that they are put together where they lie
+    ranged = terms.repartitionByRange("head", "term", "id").groupBy("head", "term", "id").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
+    ranged.select("term", "id", "places", "head").sortWithinPartitions("head", "term", "id").write.partitionBy("head").parquet(path)
     return open_index(spark, path, dict(docs.dtypes)[id_col])
 
 

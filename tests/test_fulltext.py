@@ -69,3 +69,13 @@ def test_a_page_of_matches_with_the_total(spark):
     rows = fulltext.search_page(index, docs, "id", "alpha beta", [F.desc("year"), F.col("id")], number=2, size=15).collect()
     assert [r.id for r in rows] == sorted(range(40), key=lambda k: (-(k % 3), k))[15:30] and {r.total for r in rows} == {40}
     assert fulltext.search_page(index, docs, "id", "gamma", [F.col("id")]).count() == 0
+
+
+def test_index_entries_are_shuffled_for_stems_and_ranges_alone(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(fulltext, "written", lambda df, name, keep=fulltext.written: (written.setdefault(name, df), keep(df, name))[1])
+    rows = [(1, "Studies of the study"), (2, "a study; STUDY"), (1, "studied rice"), (3, None), (4, "of the 007 1s")]
+    index = fulltext.build_index(spark.createDataFrame(rows, "id long, text string").repartition(3), "id", "text")
+    assert "Exchange hash" not in written["postings"]._jdf.queryExecution().executedPlan().toString()
+    got = [(r.term, r.id, list(r.places)) for r in index.collect()]
+    assert sorted(got) == [("007", 4, [2]), ("1s", 4, [3]), ("rice", 1, [1]), ("studi", 1, [0, 0, 3]), ("studi", 2, [1, 2])]
